@@ -61,14 +61,16 @@ def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """
     groups = exact_groups(docs, id_col=id_col, text_col=text_col, **tree)
     keep = groups.groupBy("doc_id", *KEY).agg(F.count("*").alias("times"), F.max("kept").alias("any_kept")).where("any_kept")
-    keep = keep.select(F.col("doc_id").alias("_id"), *(F.col(k).alias(f"_{k}") for k in KEY), "times")
-    names = docs.columns
-    norm = docs.withColumn("_norm", normalised(text_col))
-    marked = norm.withColumns({"_hash": F.sha2("_norm", 256), "_p": F.xxhash64("_norm"), "_len": F.length("_norm")}).drop("_norm")
-    on = F.col(id_col).eqNullSafe(F.col("_id")) & (F.unhex("_hash") == F.col("_digest")) & (F.col("_p") == F.col("_proof")) & (F.col("_len") == F.col("_n_chars"))
-    joined = marked.join(keep, on)
-    once = joined.where("times = 1").select(*names)
-    again = joined.where("times > 1").dropDuplicates(["_hash", "_p", "_len", id_col]).select(*names)
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")
+    marked = docs.select(whole, F.col(id_col).alias("id"), normalised(text_col).alias("norm"))
+    marked = marked.select("whole", "id", F.unhex(F.sha2("norm", 256)).alias("digest"), F.xxhash64("norm").alias("proof"), F.length("norm").alias("n_chars"))
+    keep = keep.withColumnsRenamed({k: f"{k}_kept" for k in KEY})
+    same = F.col("id").eqNullSafe(F.col("doc_id"))
+    for k in KEY:
+        same = same & (F.col(k) == F.col(f"{k}_kept"))
+    joined = marked.join(keep, same)
+    once = joined.where("times = 1").select("whole.*")
+    again = joined.where("times > 1").dropDuplicates(["id", *KEY]).select("whole.*")
     return once.unionByName(again)
 
 

@@ -84,18 +84,16 @@ def take_copies(docs: DataFrame) -> DataFrame:
 
     Rows with the same doc_id, source and size share their copies out in turn.
     """
-    names = docs.columns
-    plan = mix(docs).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count("*").alias("times"))
-    plan = plan.where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies"), F.col("times").alias("_times"))
-    sized = docs.withColumn("_n", word_count())
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size"))
-    joined = sized.join(plan, on)
-    single = joined.where("_times = 1").withColumn("_each", F.col("_copies").cast("int"))
-    turn = Window.partitionBy("_id", "_source", "_size").orderBy("text")
-    several = joined.where("_times > 1").withColumn("_turn", F.row_number().over(turn))
-    several = several.withColumn("_each", F.floor(F.col("_copies") * F.col("_turn") / F.col("_times")).cast("int") - F.floor(F.col("_copies") * (F.col("_turn") - 1) / F.col("_times")).cast("int")).drop("_turn")
-    both = single.unionByName(several)
-    return both.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_each")))).select(*names)
+    plan = mix(docs).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count("*").alias("times")).where("copies > 0")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")
+    sized = docs.select(whole, F.col("doc_id").alias("id"), F.col("source").alias("from"), word_count().alias("n"))
+    joined = sized.join(plan, F.col("id").eqNullSafe(F.col("doc_id")) & F.col("from").eqNullSafe(F.col("source")) & (F.col("n") == F.col("size")))
+    single = joined.where("times = 1").select("whole", F.col("copies").cast("int").alias("each"))
+    turn = F.row_number().over(Window.partitionBy("id", "from", "n").orderBy("whole.text"))
+    several = joined.where("times > 1").withColumn("turn", turn)
+    share = F.floor(F.col("copies") * F.col("turn") / F.col("times")) - F.floor(F.col("copies") * (F.col("turn") - 1) / F.col("times"))
+    both = single.unionByName(several.select("whole", share.cast("int").alias("each")))
+    return both.select("whole", F.explode(F.array_repeat(F.lit(1), F.col("each")))).select("whole.*")
 
 
 ORACLE_SQL = r"""
