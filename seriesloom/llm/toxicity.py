@@ -1,7 +1,7 @@
-"""Severity of toxicity by a cumulative-link ordinal model over words.
+"""Severity of toxicity by a cumulative-link ordinal model over words and their beginnings.
 
-P(grade > k) = sigmoid(w.x - t_k): one weight per word, shared by all thresholds t_0 < t_1. x has log(1 + count) of each
-chosen word. Labels only say toxic or not, so toxic training texts are split by their density of marker words, those
+P(grade > k) = sigmoid(w.x - t_k): one weight per feature, shared by all thresholds t_0 < t_1. x has log(1 + count) of each
+chosen word and of each chosen beginning of words, of 4 to 8 characters. Labels only say toxic or not, so toxic training texts are split by their density of marker words, those
 whose smoothed log-odds are high: the denser half has grade 2, the rest grade 1, all others grade 0. The output is the
 expected grade.
 """
@@ -12,7 +12,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +22,12 @@ from pyspark.sql import functions as F
 from seriesloom.llm.shared import small_batches
 
 #: Bounds of the training sample (rows by label) and of the vocabulary.
-TRAIN_TOXIC, TRAIN_CLEAN, MOST_WORDS = 3000, 6000, 4096
-LEAST_TEXTS, MARKER_ODDS, CHOSEN_ODDS = 3, 3.0, 1.0
-PENALTY, STEPS, REJECT_FROM = 0.002, 400, 0.5
+TRAIN_TOXIC, TRAIN_CLEAN, MOST_FEATURES = 3000, 6000, 8192
+LEAST_TEXTS, MARKER_ODDS, CHOSEN_ODDS = 3, 3.0, 1.5
+PENALTY, STEPS, REJECT_FROM = 0.001, 400, 0.5
+BEGINNINGS = (4, 5, 6, 7, 8)
+#: Words whose features a worker remembers.
+MOST_KEPT = 200_000
 
 _WORD = re.compile(r"\w+")
 
@@ -33,22 +36,39 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def features(word: str) -> list[str]:
+    """The word, and its proper beginnings marked as such."""
+    return [word, *("^" + word[:n] for n in BEGINNINGS if len(word) > n)]
+
+
 @dataclass(frozen=True)
 class Model:
-    """Weight of each word and the two thresholds."""
+    """Weight of each feature and the two thresholds."""
 
     weights: dict[str, float]
     thresholds: tuple[float, float]
+    known: dict[str, tuple[str, ...]] = field(default_factory=dict, compare=False, repr=False)
+
+    def weighing(self, word: str) -> tuple[str, ...]:
+        """Those features of a word that have a weight."""
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) >= MOST_KEPT:
+                self.known.clear()
+            found = tuple(f for f in features(word) if f in self.weights)
+            if len(word) <= 64:
+                self.known[word] = found
+        return found
 
     def above(self, text: str | None) -> list[float]:
         """P(grade > 0), P(grade > 1). Null counts as empty."""
-        found = Counter(w for w in words(text or "") if w in self.weights)
+        found = Counter(f for own in map(self.weighing, words(text or "")) for f in own)
         value = sum(self.weights[w] * math.log1p(n) for w, n in found.items())
         return [1 / (1 + math.exp(-max(-500.0, min(500.0, value - t)))) for t in self.thresholds]
 
 
 def log_odds(texts: list[list[str]], toxic: np.ndarray) -> dict[str, tuple[float, int]]:
-    """Smoothed log-odds of each word between toxic and other texts, and in how many texts it is."""
+    """Smoothed log-odds of each feature between toxic and other texts, and in how many texts it is."""
     bad, good = Counter(), Counter()
     for own, is_bad in zip(texts, toxic, strict=True):
         (bad if is_bad else good).update(set(own))
@@ -61,13 +81,13 @@ def fit(texts: list[str], is_toxic: list[bool]) -> Model:
     toxic = np.array(is_toxic, dtype=bool)
     if not toxic.any() or toxic.all():
         return Model({}, (5.0, 6.0))
-    split = [words(t) for t in texts]
+    split = [[f for w in words(t) for f in features(w)] for t in texts]
     odds = log_odds(split, toxic)
     markers = {w for w, (v, n) in odds.items() if v >= MARKER_ODDS and n >= LEAST_TEXTS}
     density = np.array([sum(w in markers for w in own) / max(len(own), 1) for own in split])
     grade = np.where(toxic, 1 + (density > np.median(density[toxic])), 0)
     usable = [(abs(v) * math.sqrt(n), w) for w, (v, n) in odds.items() if abs(v) >= CHOSEN_ODDS and n >= LEAST_TEXTS]
-    chosen = sorted(w for _, w in sorted(usable, reverse=True)[:MOST_WORDS])
+    chosen = sorted(w for _, w in sorted(usable, reverse=True)[:MOST_FEATURES])
     place = {w: i for i, w in enumerate(chosen)}
     rows, columns, values = [], [], []
     for row, own in enumerate(split):
@@ -131,7 +151,7 @@ def trained(docs: DataFrame, labels: DataFrame) -> Model:
 def severity(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, expected_severity (0 to 2), p_toxic, grade (0, 1, 2) and toxic for every row of docs.
 
-    toxic is P(grade > 0) >= 0.5. Null texts count as empty and, as texts without a known word, get the model's base
+    toxic is P(grade > 0) >= 0.5. Null texts count as empty and, as texts without a known feature, get the model's base
     rate. Repeated rows are scored each; an empty table gives no rows. Without labels of both kinds nothing is toxic.
     """
     schema = "doc_id long, expected_severity double, p_toxic double, grade int, toxic boolean"
