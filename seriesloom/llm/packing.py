@@ -81,7 +81,7 @@ def packer(path: str | None, window: int, open_windows: int, with_ids: bool) ->
 
         for batch in small_batches(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = memoryview(encoder.ids(text or "") + END)
+                ids = memoryview(encoder.ids(text or "").astype("<u4").tobytes() + END)
                 total = len(ids) // 4
                 for start in range(0, total, window):
                     part_ids = ids[4 * start : 4 * (start + window)]

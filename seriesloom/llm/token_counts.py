@@ -33,15 +33,13 @@ class TokenTree:
 
     def __init__(self, encoder: Encoder, text: str):
         self.encoder = encoder
-        parts = pieces(text) if text else []
-        self.texts = parts[:1] + [" " + p for p in parts[1:]]
-        self.leaves = len(parts)
+        self.texts = pieces(text)
+        self.leaves = len(self.texts)
         self.size = 1 << max(0, (self.leaves - 1).bit_length())
-        counts = np.fromiter((len(x) // 4 for x in encoder.split(text)), dtype=np.int64, count=self.leaves)
         self.starts = np.zeros(self.leaves + 1, dtype=np.int64)
         np.cumsum(np.fromiter(map(len, self.texts), dtype=np.int64, count=self.leaves), out=self.starts[1:])
         self.sums = np.zeros(2 * self.size, dtype=np.int64)
-        self.sums[self.size : self.size + self.leaves] = counts
+        self.sums[self.size : self.size + self.leaves] = encoder.counts(self.texts)
         width = self.size
         while width > 1:
             self.sums[width // 2 : width] = self.sums[width : 2 * width].reshape(-1, 2).sum(axis=1)
@@ -92,9 +90,8 @@ class TokenTree:
             made.append(old[at - base :])
             text = "".join(made)
             self.texts[first : last + 1] = [text] + [""] * (last - first)
-            ids = self.encoder.split(text)
-            self.encoded_again += len(ids)
-            self.put(first, sum(map(len, ids)) // 4)
+            self.encoded_again += len(pieces(text))
+            self.put(first, len(self.encoder.ids(text)))
             for leaf in range(first + 1, last + 1):
                 self.put(leaf, 0)
 
