@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.shared import small_batches
+from seriesloom.llm.shared import checkpointed, small_batches
 
 #: Bounds of the training sample (rows by label) and of the vocabulary.
 TRAIN_TOXIC, TRAIN_CLEAN, MOST_FEATURES = 3000, 6000, 8192
@@ -67,45 +67,67 @@ class Model:
         return [1 / (1 + math.exp(-max(-500.0, min(500.0, value - t)))) for t in self.thresholds]
 
 
-def log_odds(texts: list[list[str]], toxic: np.ndarray) -> dict[str, tuple[float, int]]:
-    """Smoothed log-odds of each feature between toxic and other texts, and in how many texts it is."""
-    bad, good = Counter(), Counter()
-    for own, is_bad in zip(texts, toxic, strict=True):
-        (bad if is_bad else good).update(set(own))
-    n_bad, n_good = int(toxic.sum()), int((~toxic).sum())
-    return {w: (math.log((bad[w] + 0.5) / (n_bad + 1)) - math.log((good[w] + 0.5) / (n_good + 1)), bad[w] + good[w]) for w in bad.keys() | good.keys()}
+def counter(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many toxic and other texts each feature is; what a task has counted is passed on whenever it gets large."""
+    bad: Counter = Counter()
+    good: Counter = Counter()
 
+    def flush() -> pa.RecordBatch:
+        names = list(bad.keys() | good.keys())
+        out = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([bad[f] for f in names], pa.int64()), pa.array([good[f] for f in names], pa.int64())], names=["feature", "bad", "good"])
+        bad.clear()
+        good.clear()
+        return out
 
-def fit(texts: list[str], is_toxic: list[bool]) -> Model:
-    """Accelerated gradient descent on the ordinal likelihood, both classes weighing alike, with a squared penalty."""
-    toxic = np.array(is_toxic, dtype=bool)
-    if not toxic.any() or toxic.all():
-        return Model({}, (5.0, 6.0))
-    split = [[f for w in words(t) for f in features(w)] for t in texts]
-    odds = log_odds(split, toxic)
-    markers = {w for w, (v, n) in odds.items() if v >= MARKER_ODDS and n >= LEAST_TEXTS}
-    density = np.array([sum(w in markers for w in own) / max(len(own), 1) for own in split])
-    grade = np.where(toxic, 1 + (density > np.median(density[toxic])), 0)
-    usable = [(abs(v) * math.sqrt(n), w) for w, (v, n) in odds.items() if abs(v) >= CHOSEN_ODDS and n >= LEAST_TEXTS]
-    chosen = sorted(w for _, w in sorted(usable, reverse=True)[:MOST_FEATURES])
-    place = {w: i for i, w in enumerate(chosen)}
-    rows, columns, values = [], [], []
-    for row, own in enumerate(split):
-        for w, n in Counter(w for w in own if w in place).items():
-            rows.append(row)
-            columns.append(place[w])
-            values.append(math.log1p(n))
-    rows, columns, values = np.array(rows, dtype=np.int64), np.array(columns, dtype=np.int64), np.array(values)
+    for batch in small_batches(batches):
+        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            (bad if toxic else good).update({f for w in set(words(text)) for f in features(w)})
+        if len(bad) + len(good) > MOST_KEPT:
+            yield flush()
+    yield flush()
+
+
+def vectoriser(chosen: dict[str, int], markers: frozenset[str]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """places and counts of the chosen features of each text, and its density of markers."""
+    keep = Model(dict.fromkeys(chosen, 0.0), (0.0, 1.0))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            places, counts, density = [], [], []
+            for text in batch.column(0).to_pylist():
+                own = words(text)
+                found = Counter(f for group in map(keep.weighing, own) for f in group)
+                places.append([chosen[f] for f in found])
+                counts.append(list(found.values()))
+                density.append(sum(n for f, n in found.items() if f in markers) / max(len(own), 1))
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(places, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32())), pa.array(density, pa.float64())], names=["toxic", "places", "counts", "density"])
+
+    return run
+
+
+def choose(sample: DataFrame, n_bad: int, n_good: int) -> dict[str, float]:
+    """Log-odds of the features that tell most, out of those in some texts at least; counted on the executors."""
+    counts = sample.select("text", "toxic").mapInArrow(counter, "feature string, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    odds = F.log((F.col("bad") + 0.5) / (n_bad + 1)) - F.log((F.col("good") + 0.5) / (n_good + 1))
+    seen = F.col("bad") + F.col("good")
+    telling = counts.where(seen >= LEAST_TEXTS).select("feature", odds.alias("odds"), (F.abs(odds) * F.sqrt(seen)).alias("weight")).where(F.abs("odds") >= CHOSEN_ODDS)
+    return {r["feature"]: r["odds"] for r in telling.orderBy(F.col("weight").desc(), "feature").limit(MOST_FEATURES).collect()}
+
+
+def fit(chosen: list[str], rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grade: np.ndarray) -> Model:
+    """Accelerated gradient descent on the ordinal likelihood, toxic and other texts weighing alike, with a squared penalty.
+
+    values are the entries at (rows, columns) of the matrix of texts by features.
+    """
+    toxic = grade > 0
     weight = np.where(toxic, 0.5 / toxic.sum(), 0.5 / (~toxic).sum())
     w, t = np.zeros(len(chosen)), np.array([1.0, 3.0])
-    fast_w, fast_t, rate = w.copy(), t.copy(), 2.0
+    fast_w, fast_t, rate = w.copy(), t.copy(), 1.0
     for step in range(STEPS):
-        score = np.bincount(rows, fast_w[columns] * values, minlength=len(texts))
-        pull = np.zeros(len(texts))
-        slope_t = np.zeros(2)
+        score = np.bincount(rows, fast_w[columns] * values, minlength=len(grade))
+        pull, slope_t = np.zeros(len(grade)), np.zeros(2)
         for k in (0, 1):
-            p = 1 / (1 + np.exp(-np.clip(score - fast_t[k], -500, 500)))
-            error = weight * (p - (grade > k))
+            error = weight * (1 / (1 + np.exp(-np.clip(score - fast_t[k], -500, 500))) - (grade > k))
             pull += error
             slope_t[k] = -error.sum()
         slope_w = np.bincount(columns, pull[rows] * values, minlength=len(chosen)) + PENALTY * fast_w
@@ -117,16 +139,36 @@ def fit(texts: list[str], is_toxic: list[bool]) -> Model:
     return Model(dict(zip(chosen, w.tolist(), strict=True)), (float(t[0]), float(t[1])))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most_toxic: int, most_clean: int) -> list[tuple[str, bool]]:
-    """At most so many labelled texts of each kind, those with the smallest hash of the id.
+def training_rows(docs: DataFrame, labels: DataFrame, most_toxic: int, most_clean: int) -> DataFrame:
+    """text and toxic of at most so many labelled texts of each kind, those with the smallest hash of the id.
 
-    The identifiers are chosen from the labels alone; they are few enough, by these bounds, to broadcast.
+    The identifiers are chosen from the labels alone; they are few enough, by these bounds, to broadcast. Repeated rows
+    of an identifier count each.
     """
     one = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     draw = one.withColumn("draw", F.xxhash64("doc_id", F.lit("toxicity sample")))
     ids = draw.where("toxic = 1").orderBy("draw", "doc_id").limit(most_toxic).union(draw.where("toxic = 0").orderBy("draw", "doc_id").limit(most_clean))
-    found = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(ids.select("doc_id", "toxic")), "doc_id").collect()
-    return [(r["text"], r["toxic"] == 1) for r in sorted(found, key=lambda r: (r["doc_id"], r["text"]))]
+    found = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(ids.select("doc_id", (F.col("toxic") == 1).alias("toxic"))), "doc_id")
+    return found.select("text", "toxic")
+
+
+def trained(docs: DataFrame, labels: DataFrame, most_toxic: int = TRAIN_TOXIC, most_clean: int = TRAIN_CLEAN) -> Model:
+    """The model of the labelled rows of docs. The driver gets the chosen features and sparse counts of the sample, no text."""
+    sample = checkpointed(training_rows(docs, labels, most_toxic, most_clean))
+    sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    if len(sizes) < 2:
+        return Model({}, (5.0, 6.0))
+    odds = choose(sample, sizes[True], sizes[False])
+    chosen = sorted(odds)
+    markers = frozenset(f for f, v in odds.items() if v >= MARKER_ODDS)
+    made = sample.mapInArrow(vectoriser({f: i for i, f in enumerate(chosen)}, markers), "toxic boolean, places array<int>, counts array<int>, density double").toArrow()
+    toxic, density = np.array(made["toxic"].to_pylist(), dtype=bool), made["density"].to_numpy()
+    own = made["places"].combine_chunks()
+    lengths = np.diff(own.offsets.to_numpy())
+    rows, columns = np.repeat(np.arange(len(toxic)), lengths), own.flatten().to_numpy().astype(np.int64)
+    values = np.log1p(made["counts"].combine_chunks().flatten().to_numpy())
+    grade = np.where(toxic, 1 + (density > np.median(density[toxic])), 0)
+    return fit(chosen, rows, columns, values, grade)
 
 
 def scorer(model: Model) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -143,11 +185,6 @@ def scorer(model: Model) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Rec
     return score
 
 
-def trained(docs: DataFrame, labels: DataFrame) -> Model:
-    rows = training_rows(docs, labels, TRAIN_TOXIC, TRAIN_CLEAN)
-    return fit([t for t, _ in rows], [x for _, x in rows])
-
-
 def severity(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, expected_severity (0 to 2), p_toxic, grade (0, 1, 2) and toxic for every row of docs.
 
