@@ -34,6 +34,7 @@ class HolidayMap:
     def __post_init__(self) -> None:
         if self.first.freq != BDaily():
             raise TypeError(f"a holiday map is business-daily, got {self.first.freq}")
+        object.__setattr__(self, "is_open", tuple(map(bool, self.is_open)))
         if len(self.is_open) > MOST_DAYS:
             raise ValueError(f"a holiday map has at most {MOST_DAYS} days")
 

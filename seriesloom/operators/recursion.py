@@ -56,7 +56,7 @@ def _per_key(s: SeriesFrame, run: Callable[[dict[str, Track]], None]) -> SeriesF
     types = dict(s.df.dtypes)
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "mit long", *(f"`{c}` double" for c in cols)])
     grouped = s.df.withColumn("_one", F.lit(0)).groupBy(*(keys or ["_one"]))
-    return s.with_df(grouped.applyInPandas(apply, schema))
+    return s.with_values(grouped.applyInPandas(apply, schema))
 
 
 def rec(s: SeriesFrame, rng: PeriodRange, target: str, fn: Callable[[dict[str, Track], int], float]) -> SeriesFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.functions import calendar
 from seriesloom.functions.frequency import Frequency, as_frequency, same_frequency
-from seriesloom.functions.ieee import NAN
+from seriesloom.functions.ieee import NAN, to_nan
 from seriesloom.functions.period import Period, PeriodRange
 
 #: Periods of a block.
@@ -56,6 +56,11 @@ class SeriesFrame:
         new = replace(self, df=df, **changes)
         return replace(new, df=df.select(*new.index, *new.cols))
 
+    def with_values(self, df: DataFrame, **changes) -> SeriesFrame:
+        """As with_df, for rows that come from pandas, where missing values have turned into nulls."""
+        new = self.with_df(df, **changes)
+        return new.with_df(new.df.select(*new.index, *(to_nan(F.col(c)).alias(c) for c in new.cols)))
+
     def each(self, f: Callable[[Column], Column]) -> SeriesFrame:
         """f applied to every variable, row by row."""
         return self.with_df(self.df.select(*self.index, *(f(F.col(c)).alias(c) for c in self.cols)))

@@ -8,7 +8,19 @@ from contextvars import ContextVar
 from typing import Any
 
 DEFAULTS: dict[str, Any] = {"bdaily_holidays_map": None, "bdaily_creation_bias": "strict", "x13path": ""}
-_current: ContextVar[dict[str, Any] | None] = ContextVar("seriesloom_options", default=None)
+
+
+class _Values:
+    """The context variable; a copy on an executor starts with the defaults."""
+
+    def __init__(self) -> None:
+        self.var: ContextVar[dict[str, Any] | None] = ContextVar("seriesloom_options", default=None)
+
+    def __reduce__(self) -> tuple:
+        return _Values, ()
+
+
+_current = _Values()
 
 
 def _checked(name: str, value: Any) -> Any:
@@ -29,21 +41,21 @@ def _checked(name: str, value: Any) -> Any:
 def get(name: str) -> Any:
     if name not in DEFAULTS:
         raise KeyError(f"no option {name!r}; there are {sorted(DEFAULTS)}")
-    return (_current.get() or DEFAULTS)[name]
+    return (_current.var.get() or DEFAULTS)[name]
 
 
 def put(name: str, value: Any) -> None:
-    _current.set((_current.get() or DEFAULTS) | {name: _checked(name, value)})
+    _current.var.set((_current.var.get() or DEFAULTS) | {name: _checked(name, value)})
 
 
 @contextmanager
 def scope(**values: Any) -> Iterator[None]:
     """Options for the length of a with statement."""
-    token = _current.set((_current.get() or DEFAULTS) | {k: _checked(k, v) for k, v in values.items()})
+    token = _current.var.set((_current.var.get() or DEFAULTS) | {k: _checked(k, v) for k, v in values.items()})
     try:
         yield
     finally:
-        _current.reset(token)
+        _current.var.reset(token)
 
 
 def set_holidays_map(value: Any, subdivision: str | None = None) -> None:

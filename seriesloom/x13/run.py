@@ -111,7 +111,7 @@ def deseasonalize(s: SeriesFrame, *, binary: str | None = None) -> SeriesFrame:
     types = dict(s.df.dtypes)
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "mit long", *(f"`{c}` double" for c in cols)])
     grouped = s.df.withColumn("_one", F.lit(0)).groupBy(*(keys or ["_one"]))
-    return s.with_df(grouped.applyInPandas(adjust, schema))
+    return s.with_values(grouped.applyInPandas(adjust, schema))
 
 
 def cleanup_folders(remove: bool = False) -> list[str]:
