@@ -110,6 +110,20 @@ def compare_elements(a: Operand, sign: str, b: Operand) -> SeriesFrame:
     return combine(a, b, COMPARISON[sign])
 
 
+def compare_positions(a: SeriesFrame, b: SeriesFrame) -> SeriesFrame:
+    """Booleans by position from each key's first row on, whatever the periods; variables pair in order. Lengths must agree."""
+    if len(a.cols) != len(b.cols):
+        raise ValueError("as many variables are needed on both sides")
+    first = b.ranges().select(*b.keys, F.col("first").alias("_theirs"), F.col("length").alias("_n"))
+    own = a.ranges().select(*a.keys, F.col("first").alias("_ours"), F.col("length").alias("_m"))
+    pairing = join_keys(own, first, a.keys)
+    same_length = F.when(F.col("_n") != F.col("_m"), F.raise_error(F.lit("the lengths differ")).cast("boolean")).otherwise(True)
+    left = join_keys(a.df, pairing, a.keys).where(same_length).withColumn("_at", F.col("mit") - F.col("_ours") + F.col("_theirs"))
+    right = b.df.select(*b.keys, F.col("mit").alias("_at"), *(F.col(c).alias(f"_b_{c}") for c in b.cols))
+    both = left.join(right, [*a.keys, "_at"])
+    return a.with_df(both.select(*a.index, *(ieee.equal(F.col(x), F.col(f"_b_{y}")).alias(x) for x, y in zip(a.cols, b.cols, strict=True))))
+
+
 def function(name: str, s: SeriesFrame) -> SeriesFrame:
     return s.each(FUNCTIONS[name])
 

@@ -59,11 +59,30 @@ def _by_row(s: SeriesFrame, name: str) -> Column:
     return made[name]
 
 
-def reduce_by(s: SeriesFrame, name: str, axis: int | None = None) -> DataFrame | SeriesFrame:
-    """axis None: one value per key over all cells; 0: one row per key, a column per variable; 1: a series over the variables."""
+def _only_business(s: SeriesFrame, made: SeriesFrame | None, skip: dict) -> SeriesFrame:
+    """s without the rows that the holiday options leave out; made, a result by row, missing at those rows."""
+    from seriesloom.operators import bdays
+
+    if made is None:
+        return bdays.cleaned(s, **skip)
+    keep = bdays.keep_mask(s, **skip)
+    if keep is None:
+        return made
+    marked = made.df.join(keep.df, made.index)
+    return made.with_df(marked.withColumn("value", F.when(F.col("keep"), F.col("value")).otherwise(NAN)))
+
+
+def reduce_by(s: SeriesFrame, name: str, axis: int | None = None, **skip) -> DataFrame | SeriesFrame:
+    """axis None: one value per key over all cells; 0: one row per key, a column per variable; 1: a series over the variables.
+
+    Business-daily series take skip_all_nans, skip_holidays and holidays_map.
+    """
     make = AGGREGATES[name]
     if axis == 1:
-        return s.with_df(s.df.select(*s.index, _by_row(s, name).alias("value")), cols=("value",))
+        made = s.with_df(s.df.select(*s.index, _by_row(s, name).alias("value")), cols=("value",))
+        return _only_business(s, made, skip) if skip else made
+    if skip:
+        s = _only_business(s, None, skip)
     if axis == 0:
         return s.df.groupBy(*s.keys).agg(*(make(F.col(c)).alias(c) for c in s.cols))
     if axis is not None:
@@ -73,24 +92,26 @@ def reduce_by(s: SeriesFrame, name: str, axis: int | None = None) -> DataFrame |
     return s.df.select(*s.keys, F.explode(F.array(*s.cols)).alias("_v")).groupBy(*s.keys).agg(make(F.col("_v")).alias("value"))
 
 
-def mean(s: SeriesFrame, axis: int | None = None) -> DataFrame | SeriesFrame:
-    return reduce_by(s, "mean", axis)
+def mean(s: SeriesFrame, axis: int | None = None, **skip) -> DataFrame | SeriesFrame:
+    return reduce_by(s, "mean", axis, **skip)
 
 
-def std(s: SeriesFrame, axis: int | None = None) -> DataFrame | SeriesFrame:
-    return reduce_by(s, "std", axis)
+def std(s: SeriesFrame, axis: int | None = None, **skip) -> DataFrame | SeriesFrame:
+    return reduce_by(s, "std", axis, **skip)
 
 
-def var(s: SeriesFrame, axis: int | None = None) -> DataFrame | SeriesFrame:
-    return reduce_by(s, "var", axis)
+def var(s: SeriesFrame, axis: int | None = None, **skip) -> DataFrame | SeriesFrame:
+    return reduce_by(s, "var", axis, **skip)
 
 
-def median(s: SeriesFrame, axis: int | None = None) -> DataFrame | SeriesFrame:
-    return reduce_by(s, "median", axis)
+def median(s: SeriesFrame, axis: int | None = None, **skip) -> DataFrame | SeriesFrame:
+    return reduce_by(s, "median", axis, **skip)
 
 
-def quantile(s: SeriesFrame, p: float | Sequence[float], axis: int | None = None) -> DataFrame | SeriesFrame:
+def quantile(s: SeriesFrame, p: float | Sequence[float], axis: int | None = None, **skip) -> DataFrame | SeriesFrame:
     """Exact quantiles with linear interpolation; several at once only over all cells (an array)."""
+    if skip and axis != 1:
+        s = _only_business(s, None, skip)
     if isinstance(p, (int, float)):
         make = lambda c: _or_nan(ieee.guarded(c, F.percentile(c, F.lit(float(p)))))
     elif axis is None:
@@ -106,17 +127,20 @@ def quantile(s: SeriesFrame, p: float | Sequence[float], axis: int | None = None
         k, rest = int(place), place - int(place)
         a, b = F.element_at(values, F.lit(k + 1)), F.element_at(values, F.lit(min(k + 2, n)))
         value = F.when(F.exists(F.array(*s.cols), F.isnan), NAN).otherwise(a + (b - a) * rest)
-        return s.with_df(s.df.select(*s.index, value.alias("value")), cols=("value",))
+        made = s.with_df(s.df.select(*s.index, value.alias("value")), cols=("value",))
+        return _only_business(s, made, skip) if skip else made
     cells = s.df.select(*s.keys, F.explode(F.array(*s.cols)).alias("_v"))
     return cells.groupBy(*s.keys).agg(make(F.col("_v")).alias("value"))
 
 
-def stdm(s: SeriesFrame, m: float) -> DataFrame:
+def stdm(s: SeriesFrame, m: float, **skip) -> DataFrame:
     """Standard deviation around a given mean; NaN for one observation or none."""
+    s = _only_business(s, None, skip) if skip else s
     return s.df.groupBy(*s.keys).agg(*(_deviation(F.col(c), m, 0.5).alias(c) for c in s.cols))
 
 
-def varm(s: SeriesFrame, m: float) -> DataFrame:
+def varm(s: SeriesFrame, m: float, **skip) -> DataFrame:
+    s = _only_business(s, None, skip) if skip else s
     return s.df.groupBy(*s.keys).agg(*(_deviation(F.col(c), m, 1).alias(c) for c in s.cols))
 
 

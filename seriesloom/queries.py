@@ -617,7 +617,21 @@ register(
 register(
     "bd_fc_skip_nans",
     lambda spark, d: out(convert.convert(business(spark, d), Q, "sum", skip_all_nans=True), 4),
-    None,
+    f"""{BUSINESS_SQL}, g AS (SELECT {fdiv(month(period_date_sql(BDaily(), 'mit')), 3)} AS mit, sum(value) AS value, min(mit) AS lo, max(mit) AS hi FROM s WHERE value IS NOT NULL GROUP BY 1), e AS (SELECT min(mit) AS a, max(mit) AS b FROM s)
+    SELECT g.mit, round(value, 4) AS value FROM g, e WHERE {mit_sql(BDaily(), '(' + month_start_sql('g.mit * 3') + ')', 'next')} >= a AND {mit_sql(BDaily(), '(' + month_start_sql('(g.mit + 1) * 3') + ' - 1)::DATE', 'previous')} <= b""",
+)
+
+register("bd_mean_skip_nans", lambda spark, d: rounded(stats.mean(business(spark, d), skip_all_nans=True), 4), f"{BUSINESS_SQL} SELECT round(avg(value), 4) AS value FROM s")
+register("bd_median_holidays", lambda spark, d: rounded(stats.median(bdays.cleaned(business(spark, d), skip_all_nans=True), holidays_map=holiday_map()), 4), f"{BUSINESS_SQL} SELECT round(median(value), 4) AS value FROM s WHERE mit % 25 <> 0 AND value IS NOT NULL")
+register(
+    "bd_row_mean_holidays",
+    lambda spark, d: out(stats.mean(business(spark, d), 1, holidays_map=holiday_map())),
+    f"{BUSINESS_SQL} SELECT mit, CASE WHEN mit % 25 <> 0 THEN value END AS value FROM s",
+)
+register(
+    "compare_positions",
+    lambda spark, d: (lambda s: align.compare_positions(s, s.shifted_axis(5)).df)(orders(spark, d, M)),
+    f"{orders_sql(M)} SELECT mit, true AS value FROM s",
 )
 
 # --- recursion --------------------------------------------------------------------------------------------------------
