@@ -39,6 +39,23 @@ FIELDS: dict[str, tuple[str, ...]] = {name: tuple(text.split()) for name, text i
 #: The order of blocks in a specification, after series.
 ORDER = ("arima", "estimate", "transform", "regression", "automdl", "x11", "x11regression", "check", "forecast", "force", "pickmdl", "history", "metadata", "identify", "outlier", "seats", "slidingspans", "spectrum")
 
+#: The tables that save="all" stands for; print="all" is a word of the program's own. x11 has more tables than are worth
+#: keeping here, so they have to be named.
+SAVE_ALL: dict[str, tuple[str, ...]] = {name: tuple(text.split()) for name, text in {
+    "series": "span specfile adjoriginal calendaradjorig outlieradjorig seriesmvadj",
+    "transform": "seriesconstant prior permprior tempprior prioradjusted permprioradjusted prioradjustedptd permprioradjustedptd transformed",
+    "regression": "regressionmatrix outlier aoutlier levelshift seasonaloutlier transitory temporarychange tradingday holiday regseasonal userdef",
+    "check": "acf pacf acfsquared",
+    "estimate": "model estimates lkstats iterations regcmatrix armacmatrix roots regressioneffects regressionresiduals residuals",
+    "force": "seasadjtot saround revsachanges rndsachanges revsachangespct rndsachangespct",
+    "history": "outlierhistory sarevisions chngrevisions indsarevisions trendrevisions trendchngrevisions sfrevisions lkhdhistory fcsterrors armahistory tdhistory sfilterhistory saestimates chngestimates indsaestimates trendestimates trendchngestimates sfestimates fcsthistory",
+    "identify": "acf pacf",
+    "outlier": "iterations finaltests",
+    "slidingspans": "sfspans chngspans saspans ychngspans tdspans indsfspans indchngspans indsaspans indychngspans",
+    "spectrum": "specorig specsa specirr specseatssa specseatsirr specextresiduals specresidual speccomposite specindirr specindsa",
+    "x11regression": "priortd extremeval tradingday combtradingday holiday calendar combcalendar extremevalb tradingdayb combtradingdayb holidayb calendarb combcalendarb outlieriter xregressionmatrix xregressioncmatrix",
+}.items()}
+
 
 def token(period: Period) -> str:
     """2020.jul for months, 2020.3 for quarters and half-years."""
@@ -473,6 +490,9 @@ def make(kind: str, given: dict[str, Any]) -> Block:
         if isinstance(value, str) and len(value) > most and not (kind == "transform" and name == "name"):
             warn(f"{kind}: {name} cut to {most} characters: {value}")
             block.given[name] = value[:most]
+    if block.given.get("save") in ("all", ["all"]):
+        need(kind in SAVE_ALL, f"{kind}: name the tables to save")
+        block.given["save"] = list(SAVE_ALL[kind])
     if kind in CHECKS:
         CHECKS[kind](block)
     return block

@@ -66,6 +66,13 @@ def test_whole_text(tmp_path):
     assert "data = (        1.0        3.0\n                2.0        4.0        )" in block_text(S.transform(data=two))
 
 
+def test_saving_all():
+    assert block_text(S.check(save="all")) == "check {\n        save = (acf pacf acfsquared)\n}"
+    assert block_text(S.check(print="all")) == "check {\n        print = (all)\n}"
+    with pytest.raises(Problem, match="tables"):
+        S.x11(save=["all"])
+
+
 def test_long_lines():
     parts = wrapped(" ".join(f"x{i}" for i in range(60)))
     assert len(parts) == 2 and all(len(p) <= 124 for p in parts) and parts[1].startswith(" " * 8)
