@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -128,6 +130,28 @@ def function(name: str, s: SeriesFrame) -> SeriesFrame:
     return s.each(FUNCTIONS[name])
 
 
+def apply(s: SeriesFrame, f: Callable[[np.ndarray], np.ndarray]) -> SeriesFrame:
+    """Any element-wise NumPy function, on batches of values; those in FUNCTIONS stay in the JVM."""
+    name = getattr(f, "__name__", "")
+    if isinstance(f, np.ufunc) and name in FUNCTIONS:
+        return function(name, s)
+
+    @F.pandas_udf("double")
+    def batch(v: pd.Series) -> pd.Series:
+        return pd.Series(np.asarray(f(v.to_numpy(dtype=float)), dtype=float))
+
+    return s.each(lambda v: ieee.to_nan(batch(v)))
+
+
+def logical(a: Operand, what: str, b: Operand) -> SeriesFrame:
+    """and, or, xor of values taken as true where they are not 0 (NaN counts as true)."""
+    def true(v: Column) -> Column:
+        return (v != 0) | F.isnan(v)
+
+    made: dict[str, Binary] = {"and": lambda x, y: true(x) & true(y), "or": lambda x, y: true(x) | true(y), "xor": lambda x, y: true(x) != true(y)}
+    return combine(a, b, made[what])
+
+
 def maximum(a: Operand, b: Operand) -> SeriesFrame:
     return combine(a, b, lambda x, y: F.when(F.isnan(x) | F.isnan(y), NAN).otherwise(F.greatest(x, y)))
 
@@ -221,6 +245,13 @@ def dot(a: SeriesFrame, b: SeriesFrame) -> DataFrame:
     return both.groupBy(*a.keys).agg(F.sum(F.col(a.only()) * F.col(f"_b_{b.only()}")).alias("value"))
 
 
+def left_matmul(weights: DataFrame, s: SeriesFrame) -> DataFrame:
+    """A matrix times a series: weights has row, position (from 0, in order of period) and weight; gives row and value per key."""
+    edges = s.ranges().select(*s.keys, F.col("first").alias("_first"))
+    placed = join_keys(s.df, edges, s.keys).withColumn("position", F.col("mit") - F.col("_first"))
+    return placed.join(weights, "position").groupBy(*s.keys, "row").agg(F.sum(F.col(s.only()) * F.col("weight")).alias("value"))
+
+
 def matmul(a: SeriesFrame, weights: dict[str, dict[str, float]]) -> SeriesFrame:
     """Rows of a times a matrix given as {result: {variable: weight}}: one projection."""
     def combination(w: dict[str, float]) -> Column:

@@ -84,6 +84,16 @@ class HolidayMap:
         return [dt.date.fromordinal(bday_to_day(self.first.value + i)) for i, x in enumerate(self.is_open) if not x]
 
 
+def holiday_options(country: str | None = None) -> list[str]:
+    """Countries that the package ``holidays`` knows, or a country's subdivisions."""
+    try:
+        import holidays
+    except ImportError as e:
+        raise ImportError("holiday_options needs the package holidays") from e
+    known = holidays.list_supported_countries()
+    return sorted(known) if country is None else list(known[country])
+
+
 def resolve(holidays_map: HolidayMap | None, skip_holidays: bool) -> HolidayMap | None:
     """The map given, or with skip_holidays the one that is set as an option."""
     if holidays_map is not None:

@@ -136,6 +136,17 @@ class SeriesFrame:
             raise IndexError(f"{period} is outside the range")
         return rows[0][0] if len(self.cols) == 1 else rows[0].asDict()
 
+    def at_position(self, i: int) -> dict[str, float] | float:
+        """Values of a single series at a position, from 0 on or from -1 backwards."""
+        rng = self.range()
+        if not -len(rng) <= i < len(rng):
+            raise IndexError(f"position {i} is outside a range of {len(rng)}")
+        return self.at(rng[i])
+
+    def similar(self, value: float = NAN) -> SeriesFrame:
+        """The same rows with one value everywhere."""
+        return self.each(lambda _: F.lit(float(value)))
+
     def lookup(self, wanted: DataFrame) -> DataFrame:
         """Values at the periods of ``wanted``, a table (keys..., pos, mit); a period outside the range raises an error."""
         found = wanted.join(self.df.withColumn("_found", F.lit(True)), self.index, "left")

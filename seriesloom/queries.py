@@ -721,4 +721,17 @@ register(
     lambda spark, d: out(align.matmul(_flag(spark, d), {"x": {"A": 0.5, "N": 2.0}, "y": {"N": -1.0, "R": 4.0}})),
     f'{FULL_SQL} SELECT mit, "A" * 0.5 + "N" * 2.0 AS x, "N" * -1.0 + "R" * 4.0 AS y FROM t',
 )
+def _left(spark: SparkSession, d: str) -> DataFrame:
+    weights = spark.range(24).select((F.col("id") % 2).alias("row"), F.col("id").alias("position"), (F.col("id") + 1).cast("double").alias("weight"))
+    return align.left_matmul(weights, orders(spark, d, M))
+
+
+register(
+    "matmul_left",
+    _left,
+    f"{orders_sql(M)} SELECT (mit - {12 * 1995}) % 2 AS row, sum(value * (mit - {12 * 1995} + 1)) AS value FROM s WHERE mit < {12 * 1995} + 24 GROUP BY 1",
+)
+register("similar_fill", lambda spark, d: out(orders(spark, d, M).similar(1.5)), f"{orders_sql(M)} SELECT mit, 1.5::DOUBLE AS value FROM s")
+register("numpy_function", lambda spark, d: out(align.apply(orders(spark, d, M), lambda v: np.hypot(v, 3.0)), 4), f"{orders_sql(M)} SELECT mit, round(sqrt(value * value + 9.0), 4) AS value FROM s")
+register("logical_and", lambda spark, d: align.logical(*(lambda p: (p[0], "and", p[1]))(_two(spark, d))).df, f"{TWO_SQL} SELECT mit, a.value <> 0 AND b.value <> 0 AS value FROM a JOIN b USING (mit)")
 register("workspace_frame", lambda spark, d: out(Workspace(a=_two(spark, d)[0], b=_two(spark, d)[1]).frame()), f"{TWO_SQL} SELECT mit, a.value AS a, b.value AS b FROM a FULL JOIN b USING (mit)")

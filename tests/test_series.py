@@ -285,6 +285,22 @@ def test_arithmetic(spark):
     assert [r[0] for r in same.df.orderBy("mit").select("value").collect()] == [True, False, False]
 
 
+def test_numpy_functions_and_products(spark):
+    s = ser(spark, unit(1), [1, NAN, 4])
+    check(align.apply(s, np.sqrt), unit(1), [1, NAN, 2])
+    check(align.apply(s, lambda v: np.hypot(v, 3)), unit(1), [math.hypot(1, 3), NAN, 5])
+    flags = align.logical(s, "xor", ser(spark, unit(1), [0, 0, 2]))
+    assert [r[0] for r in flags.df.orderBy("mit").select("value").collect()] == [True, True, False]
+    weights = spark.createDataFrame([("x", 0, 2.0), ("x", 2, 0.5), ("y", 2, -1.0)], "row string, position long, weight double")
+    assert {r["row"]: r["value"] for r in align.left_matmul(weights, s).collect()} == {"x": 4.0, "y": -4.0}
+    assert s.at_position(0) == 1 and s.at_position(-1) == 4
+    with pytest.raises(IndexError):
+        s.at_position(3)
+    check(s.similar(2), unit(1), [2, 2, 2])
+    positions = align.compare_positions(ser(spark, unit(1), [1, 2]), ser(spark, unit(9), [1, 3]))
+    assert [r[0] for r in positions.df.orderBy("mit").select("value").collect()] == [True, False]
+
+
 def test_overlay_and_concatenation(spark):
     x1, x2 = ser(spark, qq(2020, 1), [1, 2, NAN, 4]), ser(spark, qq(2019, 3), [10, 20, 30, 40])
     check(align.overlay(x1, x2), qq(2019, 3), [10, 20, 1, 2, NAN, 4])
