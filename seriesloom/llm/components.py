@@ -1,13 +1,44 @@
-"""Connected components of an edge table by alternating large and small stars."""
+"""Connected components of an edge table: large stars, and contraction of the edges of each partition."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm.shared import checkpointed
 
 
+def smallest_labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For nodes 0 to n - 1 and edges between a and b the smallest node of each one's component."""
+    label = np.arange(n)
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return label
+        low = np.minimum(x, y)[apart]
+        np.minimum.at(label, x[apart], low)
+        np.minimum.at(label, y[apart], low)
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def contracted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a partition as stars: every node with the smallest node that the partition's edges tie it to."""
+    held = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches if b.num_rows]
+    if held:
+        edges = np.concatenate(held, axis=1)
+        nodes, place = np.unique(edges.reshape(-1), return_inverse=True)
+        a, b = place.reshape(2, -1)
+        root = smallest_labels(a, b, len(nodes))
+        own = np.flatnonzero(root != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[root[own]])], names=["u", "v"])
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
@@ -15,20 +46,21 @@ def _state(edges: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of edges (u, v) but the roots themselves; a root is its component's smallest node.
 
-    A large star ties the larger neighbours of every node to the smallest one, a small star the others; both keep
-    components and end in stars after about log(n) rounds. Minima are aggregated before the shuffle, and a node with very
-    many neighbours is only ever joined with its one minimum, so that its rows can be split. No group is gathered.
+    Edges lead from the larger node u to the smaller v. They are dealt out by u, and each partition's edges shrink to
+    stars, which ties all smaller neighbours of a node together. A large star then leads every u to the smallest
+    neighbour of its v instead, and so on until nothing changes, after about log(n) rounds, mostly one or two. The caller's
+    edges must give a node few smaller neighbours (here one per signature), as rounds don't add any; a node may have
+    any number of larger ones: they meet its one minimum in a join on a key that both sides are dealt out by anew, so
+    that Spark can split them.
     """
-    e = checkpointed(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    def shrunk(df: DataFrame) -> DataFrame:
+        return checkpointed(df.where("u != v").repartition("u").mapInArrow(contracted, "u long, v long"))
+
+    e = shrunk(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
     before = None
-    while (now := _state(e)) != before:
+    while (now := _state(e)) != before and now[0]:
         before = now
-        if not now[0]:
-            break
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = checkpointed(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct())
+        least = e.groupBy("u").agg(F.min("v").alias("m")).select((-F.col("u")).alias("key"), "m")
+        moved = e.withColumn("key", -F.col("v")).join(least, "key", "left")
+        e = shrunk(moved.select("u", F.coalesce("m", "v").alias("v")))
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
