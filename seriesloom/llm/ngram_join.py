@@ -2,10 +2,11 @@
 
 Blocking. Two sets of sizes a <= b that link differ in at most 15 (a + b) / 185 elements (for 85 %). Sizes fall into
 classes such that linked sets lie in one class or two that follow each other. For the class of the smaller set, hash ranges cut every
-set into more segments than that number of differences, so at least one segment is the same in both. A
-set's segments, hashed with class and position, are its signatures; sets that share one are candidates.
-Segments of one element or none say little: with ``spare`` segments more than needed, up to ``spare`` of them can be
-left out, as two linked sets then still share another; a set with more of them keeps them all.
+set into m segments, more than that number d of differences, so that at least m - d are the same in both. With m - d = spare
++ 1, every set may leave out its ``spare`` least telling segments under an order that depends on a segment's content alone:
+of those that two linked sets share, the most telling one has at least ``spare`` others before it in both, so neither
+leaves it out. Telling are segments with many elements; they rarely agree by chance or for a common passage. The
+d + 1 segments that stay, hashed with class and position, are a set's signatures; sets that share one are candidates.
 
 Candidates form groups (connected components of shared signatures, a star per signature, never all pairs). Within a group, the dual
 traversal of signature trees finds the links exactly. Large groups are cut into blocks and compared a pair of
@@ -28,11 +29,11 @@ from seriesloom.llm.shared import checkpointed, small_batches
 from seriesloom.llm.shingles import Hasher, digest, mixed
 from seriesloom.llm.signature_tree import linked
 
-WORDS, PERCENT, BLOCK = 4, 85, 2048
+WORDS, PERCENT, BLOCK = 4, 85, 1024
 #: Signatures that a task holds before it passes them on.
 HELD = 1 << 21
 _U = np.uint64
-MAPPED = "bin int, sigs binary, owners binary, uid long, doc_id long, n long, d1 long, d2 long"
+MAPPED = "bin int, sigs binary, owners binary, uid long, v long, doc_id long, n long, d1 long, d2 long"
 FOUND = "u long, v long, doc_id long, n long, d1 long, d2 long"
 
 
@@ -50,8 +51,8 @@ def classes(percent: int) -> tuple[list[int], list[int]]:
 
 
 def segments(differences: int) -> tuple[int, int]:
-    """Number of segments, and how many of them are spare."""
-    spare = min(differences, 3 + differences // 8)
+    """Number of segments, and how many of them are left out."""
+    spare = differences // 2
     return differences + 1 + spare, spare
 
 
@@ -71,15 +72,16 @@ def signatures(own: np.ndarray, percent: int) -> np.ndarray:
         first = np.flatnonzero(np.diff(place, prepend=-1))
         sums[place[first]] = np.add.reduceat(mixed(own), first)
         names = mixed(mixed(sums + count.astype(np.uint64)) + np.arange(m, dtype=np.uint64) * _U(0x9E3779B97F4A7C15) + _U(scheme << 40))
-        little = count <= 1
-        out.append(names if little.sum() > spare else names[~little])
+        out.append(names[np.lexsort((names, count))[spare:]])
     return np.concatenate(out)
 
 
 def mapper(width: int, percent: int, bins: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A row for each document, and for each bin the signatures that fall into it with the positions of their owners.
 
-    Owners are numbered within the task; the first document with a set stands for all in the task that have it.
+    Owners are numbered within the task; the first document with a set stands for all in the task that have it. Of a
+    signature's owners in the task the first one goes on, and the others are tied to it at once, so that a bin gets a very
+    common signature no more often than there are tasks.
     """
 
     def rows(**columns) -> pa.RecordBatch:
@@ -93,16 +95,21 @@ def mapper(width: int, percent: int, bins: int) -> Callable[[Iterable[pa.RecordB
         held: list[np.ndarray] = []
         owners: list[np.ndarray] = []
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             sigs, own = np.concatenate(held), np.concatenate(owners)
             held.clear()
             owners.clear()
+            order = np.lexsort((own, sigs))
+            sigs, own = sigs[order], own[order]
+            fresh, centre = starred(sigs, own)
+            ties = np.unique(np.stack([own[~fresh], centre[~fresh]], axis=1), axis=0).astype(np.int64) + base
+            sigs, own = sigs[fresh], own[fresh]
             at = ((sigs >> _U(32)) * _U(bins) >> _U(32)).astype(np.int64)
-            order = np.argsort(at, kind="stable")
-            sigs, own, at = sigs[order], own[order], at[order]
             cuts = np.flatnonzero(np.diff(at, prepend=-1))
             ends = np.append(cuts[1:], len(at))
-            return rows(bin=at[cuts].tolist(), sigs=[sigs[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], owners=[own[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], uid=[base] * len(cuts))
+            yield rows(bin=at[cuts].tolist(), sigs=[sigs[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], owners=[own[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], uid=[base] * len(cuts))
+            if len(ties):
+                yield rows(bin=(bins + ties[:, 0] % bins).tolist(), uid=ties[:, 0].tolist(), v=ties[:, 1].tolist())
 
         seen = 0
         for batch in small_batches(batches):
@@ -122,28 +129,31 @@ def mapper(width: int, percent: int, bins: int) -> Callable[[Iterable[pa.RecordB
             spread = [bins + u % bins for u in uids]
             yield rows(bin=spread, uid=uids, doc_id=batch.column(0).to_pylist(), n=[len(s) for s in sets], d1=[d[0] for d in digests], d2=[d[1] for d in digests])
             if seen >= HELD:
-                yield flush()
+                yield from flush()
                 seen = 0
         if held:
-            yield flush()
+            yield from flush()
 
     return run
 
 
+def starred(sigs: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs in order: whether the signature is new, and the first owner of each one's signature."""
+    fresh = np.concatenate([[True], sigs[1:] != sigs[:-1]])
+    return fresh, owners[np.maximum.accumulate(np.where(fresh, np.arange(len(sigs)), 0))]
+
+
 def binned(table: pa.Table) -> pa.Table:
-    """Rows of documents as they are; of a bin's signatures a star for each that several owners have."""
+    """Rows of documents and ties as they are; of a bin's signatures a star for each that several owners have."""
     names = [x.split()[0] for x in FOUND.split(", ")]
     if table.column("sigs").null_count:
-        n = table.num_rows
-        columns = [table.column("uid"), pa.nulls(n, pa.int64()), *(table.column(x) for x in names[2:])]
-        return pa.table(columns, names=names)
+        return pa.table([table.column("uid"), *(table.column(x) for x in names[1:])], names=names)
     sigs = np.frombuffer(b"".join(table.column("sigs").to_pylist()), dtype=np.uint64)
     parts = [np.frombuffer(o, dtype=np.uint32).astype(np.int64) + base for o, base in zip(table.column("owners").to_pylist(), table.column("uid").to_pylist(), strict=True)]
     owners = np.concatenate(parts)
     order = np.lexsort((owners, sigs))
     sigs, owners = sigs[order], owners[order]
-    fresh = np.concatenate([[True], sigs[1:] != sigs[:-1]])
-    centre = owners[np.maximum.accumulate(np.where(fresh, np.arange(len(sigs)), 0))]
+    fresh, centre = starred(sigs, owners)
     edges = np.unique(np.stack([owners[~fresh], centre[~fresh]], axis=1), axis=0)
     n = len(edges)
     return pa.table([pa.array(edges[:, 0]), pa.array(edges[:, 1]), *(pa.nulls(n, pa.int64()) for _ in range(4))], names=names)
