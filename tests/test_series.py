@@ -1,4 +1,5 @@
 import math
+import sys
 
 import numpy as np
 import pandas as pd
@@ -540,11 +541,23 @@ def test_pandas(spark):
     with pytest.raises(ValueError, match="gaps"):
         frames.from_pandas(spark, pd.Series([1.0, 2.0], index=[1, 3]))
     assert got(frames.from_pandas(spark, pd.Series([1.0, 2.0], index=[4, 5]))) == (unit(4), [1, 2])
-    for gated in (lambda: frames.to_polars(s), lambda: frames.from_polars(spark, None)):
+
+
+def test_polars_missing(spark, monkeypatch):
+    monkeypatch.setitem(sys.modules, "polars", None)
+    for gated in (lambda: frames.to_polars(ser(spark, qq(2020, 1), [1])), lambda: frames.from_polars(spark, None)):
         with pytest.raises(ImportError, match="polars"):
             gated()
 
 
+def test_polars_both_ways(spark):
+    pytest.importorskip("polars")
+    s = ser(spark, qq(2020, 1), [1, 2, 3])
+    made = frames.to_polars(s)
+    assert made.columns[0] == "time" and made.height == 3
+    assert got(frames.from_polars(spark, made, freq=Quarterly())) == got(s)
+
+
 def test_constructors(spark, tmp_path):
     rng = PeriodRange(qq(2020, 1), qq(2020, 4))
     check(frames.series(spark, rng), qq(2020, 1), [NAN] * 4)
