@@ -101,63 +101,48 @@ def _custom(rows: DataFrame, s: SeriesFrame, f: Callable[[np.ndarray], float], h
 
 
 def _of_key(s: SeriesFrame, made: DataFrame) -> DataFrame:
-    """made with _first and _last, the key's own range."""
-    w = Window.partitionBy(*s.keys)
-    if s.keys:
-        return made.withColumns({"_first": F.min("_lo").over(w), "_last": F.max("_hi").over(w)})
-    return join_keys(made, made.agg(F.min("_lo").alias("_first"), F.max("_hi").alias("_last")), s.keys)
-
-
-def _parts(target: Frequency, source: Frequency, value: Column, ref: str) -> tuple[Column, Column, Column]:
-    """As month_parts, for columns."""
-    own, back = source.months, source.months - source.end_period
-    n, target_back = target.months, target.months - target.end_period
-    month = value * own - back + 1 if ref == "begin" else (value + 1) * own - back
-    to = floor_div(month - 1 + target_back, n)
-    return to, month, to * n - target_back + 1 if ref == "begin" else (to + 1) * n - target_back
-
-
-def _cuts(target: Frequency, source: Frequency, ref: str, whole: bool) -> tuple[Column, Column]:
-    """First and last target period that a key's range fills, for aggregates (whole) or single values."""
-    own, n = source.months, target.months
-    to_lo, a, b = _parts(target, source, F.col("_first"), "begin")
-    to_hi, c, d = _parts(target, source, F.col("_last"), "end")
-    straddles_start = (a < b) & (a + own - 1 >= b)
-    if ref == "end" and not whole:
-        keep_lo = a + own - 1 <= b + n - 1
-    elif ref == "begin" and whole:
-        keep_lo = (a == b) | ((a > b) & (a - (own - 1) <= b))
-    else:
-        keep_lo = (a == b) | straddles_start
-    if ref == "end":
-        keep_hi = (c == d) | ((c < d) & (c + own - 1 >= d))
-    elif whole:  # an exact end does not count here
-        keep_hi = (c > d) & (c - (own - 1) <= d)
-    else:
-        keep_hi = c >= d - (n - 1)
-    return to_lo + F.when(keep_lo, 0).otherwise(1), to_hi - F.when(keep_hi, 0).otherwise(1)
+    """made with _first and _last, the key's own range: a small aggregate of made, joined back."""
+    return join_keys(made, made.groupBy(*s.keys).agg(F.min("_lo").alias("_first"), F.max("_hi").alias("_last")), s.keys)
+
+
+def _months(freq: Frequency, value: Column) -> tuple[Column, Column]:
+    """The months of a period as a half-open interval."""
+    start = value * freq.months - freq.shift
+    return start, start + freq.months
+
+
+def _holder(freq: Frequency, month: Column) -> Column:
+    """Value of the period that has the month in it."""
+    return floor_div(month + freq.shift, freq.months)
 
 
 def _lower_months(s: SeriesFrame, target: Frequency, method: str | Callable, ref: str) -> SeriesFrame:
-    source = s.freq
+    """A source period belongs to the target period in which it ends (ref end) or starts (ref begin).
+
+    Keys are dense, so a target period is whole if its first and last member are there. Under ref begin an aggregate needs
+    the series to go on after the period as well. A single value is the last member that ends in the target period (end) or the
+    one that holds its first month (begin): a filter, without a shuffle.
+    """
+    source, mit = s.freq, F.col("mit")
     if method in ("begin", "end"):
         method, ref = "point", method
     if not callable(method) and method not in LOWER:
         raise ValueError(f"method must be one of {LOWER}, got {method!r}")
-    count = target.months // source.months
-    offset = (target.end_period - target.months) - (source.end_period - source.months)
+    start, end = _months(source, mit)
     if method == "point":
-        # value of the source period that holds the target's first or last month
-        base = offset // source.months if ref == "begin" else (target.months + offset) // source.months - 1
-        place = F.pmod(F.col("mit") - base, F.lit(count)) == 0
-        picked = s.df.withColumns({"_to": floor_div(F.col("mit") - base, count), "_at": place})
-        made = _of_key(s, picked.withColumns({"_lo": F.col("mit"), "_hi": F.col("mit")})).where("_at")
+        to = _holder(target, end - 1)
+        opens, closes = _months(target, to)
+        fits = closes < end + source.months if ref == "end" else opens >= start
+        return s.with_df(s.df.withColumn("_to", to).where(fits).drop("mit").withColumnRenamed("_to", "mit"), freq=target)
+    made = _aggregated(s, _holder(target, end - 1 if ref == "end" else start), method)
+    opens, closes = _months(target, F.col("_to"))
+    starts, ends = _months(source, F.col("_lo"))[0], _months(source, F.col("_hi"))[1]
+    if ref == "end":
+        whole = (starts <= opens) & (ends + source.months > closes)
     else:
-        base = (offset + (source.months - 1 if ref == "begin" else 0)) // source.months
-        made = _of_key(s, _aggregated(s, floor_div(F.col("mit") - base, count), method))
-    lo, hi = _cuts(target, source, ref, method != "point")
-    out = made.where((F.col("_to") >= lo) & (F.col("_to") <= hi))
-    return s.with_df(out.drop("mit").withColumnRenamed("_to", "mit"), freq=target)
+        made = _of_key(s, made)
+        whole = (starts - source.months < opens) & (_months(source, F.col("_last"))[1] > closes)
+    return s.with_df(made.where(whole).withColumnRenamed("_to", "mit"), freq=target)
 
 
 def _lower_days(s: SeriesFrame, target: Frequency, method: str | Callable, ref: str, skip_all_nans: bool, skip_holidays: bool, holidays_map: bdays.HolidayMap | None) -> SeriesFrame:
@@ -212,11 +197,10 @@ def _targets(s: SeriesFrame, target: Frequency, ref: str) -> tuple[Column, Colum
     """First and last target period of a source row."""
     source, mit = s.freq, F.col("mit")
     if target.is_monthly_based and source.is_monthly_based:
-        count = source.months // target.months
-        to, a, b = _parts(target, source, mit, "begin")
-        late = (b + target.months - 1 < a) if ref == "end" else (b < a)
-        first = to + F.when(late, 1).otherwise(0)
-        return first, first + count - 1
+        start, end = _months(source, mit)
+        # from the target period that holds the first month, or from the first that starts in the source period
+        first = _holder(target, start if ref == "end" else start + target.months - 1)
+        return first, first + source.months // target.months - 1
     begin, end = (calendar.period_day(source, mit, r) for r in ("begin", "end"))
     if target.kind == "Weekly":
         week = lambda day: calendar.week_of(day, target.end)
