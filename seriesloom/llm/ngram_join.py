@@ -1,22 +1,24 @@
-"""Jaccard join on word n-grams: exact blocking, then signature trees.
+"""Jaccard join on word n-grams with signature trees.
 
 Blocking. Two sets of sizes a <= b that link differ in at most 15 (a + b) / 185 elements (for 85 %). Sizes fall into
 classes such that linked sets lie in one class or two that follow each other. For the class of the smaller set, hash ranges cut every
 set into m segments, more than that number d of differences, so that at least m - d are the same in both. With m - d = spare
 + 1, every set may leave out its ``spare`` least telling segments under an order that depends on a segment's content alone:
-of those that two linked sets share, the most telling one has at least ``spare`` others before it in both, so neither
-leaves it out. Telling are segments with many elements; they rarely agree by chance or for a common passage. The
-d + 1 segments that stay, hashed with class and position, are a set's signatures; sets that share one are candidates.
-
-Candidates form groups (connected components of shared signatures, a star per signature, never all pairs). Within a group, the dual
-traversal of signature trees finds the links exactly. Large groups are cut into blocks and compared a pair of
-blocks at a time. Equal sets count once throughout.
+of those that two linked sets share, the most telling one has at least ``spare`` others after it in both, so neither
+leaves it out. Telling are segments with a rare shingle; how common shingles are comes from counts over all
+documents, hashed into a fixed number of counters. The d + 1 segments that stay, hashed with class and position, are a set's
+signatures; sets that share one are candidates.
+
+Trees. Candidates form groups (connected components of shared signatures, a star per signature, never all pairs). A group is cut
+into blocks by a budget of shingles; each block is a signature tree whose dual traversal with itself finds its links, and a few
+sets of the group, the hubs, join in every block. Between blocks the traversal starts at their roots: pairs of blocks whose
+root signatures leave no possible overlap, or whose members are all joined already, go before any set is shipped, and what
+is joined already is left out below. Equal sets count once throughout.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,19 +27,84 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm.components import components
-from seriesloom.llm.shared import checkpointed, small_batches
+from seriesloom.llm.shared import checkpointed, groups_in_order, small_batches
 from seriesloom.llm.shingles import Hasher, digest, mixed
-from seriesloom.llm.signature_tree import linked
+from seriesloom.llm.signature_tree import block_signature, linked, may_link
 
-WORDS, PERCENT, BLOCK = 4, 85, 1024
+WORDS, PERCENT = 4, 85
+#: Shingles of a block, and the sets that it has at least where that makes more blocks than tasks can use.
+BLOCK_SHINGLES, BLOCK_SETS = 1 << 19, 64
+#: Counters of how common shingles are, in chunks; tables of counters that are added up in one task.
+COUNTERS, CHUNK, ADDED_AT_ONCE = 1 << 20, 1 << 14, 64
 #: Signatures that a task holds before it passes them on.
-HELD = 1 << 21
+HELD = 1 << 20
 _U = np.uint64
-MAPPED = "bin int, sigs binary, owners binary, uid long, v long, doc_id long, n long, d1 long, d2 long"
-FOUND = "u long, v long, doc_id long, n long, d1 long, d2 long"
+MAPPED = "bin int, sigs binary, owners binary, uid long, v long, doc_id long, mark long, n long, d1 long, d2 long"
+FOUND = "u long, v long, doc_id long, mark long, n long, d1 long, d2 long"
+COUNTED = "chunk int, part int, places binary, counts binary"
+
+
+# --- how common shingles are ------------------------------------------------------------------------------------------
+
+
+def packed_counts(part: int, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row per chunk of counters, with those that are not 0."""
+    for start in range(0, len(counts), CHUNK):
+        own = counts[start : start + CHUNK]
+        at = np.flatnonzero(own)
+        if len(at):
+            yield counted_row(start // CHUNK, part, at, own[at])
+
+
+def counted_row(chunk: int, part: int, at: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array([chunk], pa.int32()), pa.array([part], pa.int32()), pa.array([at.astype("<u2").tobytes()], pa.binary()), pa.array([counts.astype("<u8").tobytes()], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in COUNTED.split(", ")])
+
+
+def counter(width: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Occurrences of shingles by the low bits of their hashes, over a task's texts."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, counts = Hasher(width), np.zeros(COUNTERS, dtype=np.int64)
+        for batch in small_batches(batches):
+            grams = [hasher.shingles(t)[0] for t in batch.column(0).to_pylist()]
+            counts += np.bincount((np.concatenate(grams) & _U(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+        yield from packed_counts(TaskContext.get().partitionId(), counts)
+
+    return count
+
+
+def added(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each chunk and group of tasks."""
+    for (chunk, part), rows in groups_in_order(batches, 2):
+        counts = np.zeros(CHUNK, dtype=np.int64)
+        for at, own in zip(rows.column(2).to_pylist(), rows.column(3).to_pylist(), strict=True):
+            counts[np.frombuffer(at, dtype="<u2")] += np.frombuffer(own, dtype="<u8").astype(np.int64)
+        at = np.flatnonzero(counts)
+        yield counted_row(chunk, part, at, counts[at])
+
+
+def commonness(source: DataFrame, width: int) -> np.ndarray:
+    """A level for each counter, twice the binary logarithm of its count, over all documents.
+
+    Tasks' counts are added up in rounds of ADDED_AT_ONCE; the driver gets a table of COUNTERS bytes in size whatever the input is.
+    """
+    made = checkpointed(source.select("text").mapInArrow(counter(width), COUNTED))
+    most = made.agg(F.max("part")).first()[0]
+    while most:
+        most //= ADDED_AT_ONCE
+        dealt = made.withColumn("part", F.floor(F.col("part") / ADDED_AT_ONCE).cast("int")).repartition("chunk", "part")
+        made = dealt.sortWithinPartitions("chunk", "part").mapInArrow(added, COUNTED)
+    out = np.zeros(COUNTERS, dtype=np.uint8)
+    for row in made.collect():
+        at, counts = np.frombuffer(row["places"], dtype="<u2"), np.frombuffer(row["counts"], dtype="<u8")
+        out[row["chunk"] * CHUNK + at.astype(np.int64)] = np.floor(2 * np.log2(counts))
+    return out
+
+
+# --- signatures -------------------------------------------------------------------------------------------------------
 
 
-@lru_cache(maxsize=8)
 def classes(percent: int) -> tuple[list[int], list[int]]:
     """First size of each class, and the most differences of linked sets whose smaller one is in the class."""
     starts = [1]
@@ -50,33 +117,36 @@ def classes(percent: int) -> tuple[list[int], list[int]]:
     return starts, most
 
 
-def segments(differences: int) -> tuple[int, int]:
-    """Number of segments, and how many of them are left out."""
-    spare = differences // 2
-    return differences + 1 + spare, spare
-
-
-def signatures(own: np.ndarray, percent: int) -> np.ndarray:
-    """64-bit signatures of a set that is not empty."""
-    starts, most = classes(percent)
-    n = len(own)
-    c = int(np.searchsorted(starts, n, side="right")) - 1
-    out = []
-    for scheme in (c, c - 1):
-        if scheme < 0 or n > (starts[scheme + 1] - 1) * 100 // percent:
-            continue
-        m, spare = segments(most[scheme])
-        place = ((own >> _U(32)) * _U(m) >> _U(32)).astype(np.int64)
-        count = np.bincount(place, minlength=m)
-        sums = np.zeros(m, dtype=np.uint64)
-        first = np.flatnonzero(np.diff(place, prepend=-1))
-        sums[place[first]] = np.add.reduceat(mixed(own), first)
-        names = mixed(mixed(sums + count.astype(np.uint64)) + np.arange(m, dtype=np.uint64) * _U(0x9E3779B97F4A7C15) + _U(scheme << 40))
-        out.append(names[np.lexsort((names, count))[spare:]])
-    return np.concatenate(out)
-
-
-def mapper(width: int, percent: int, bins: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+class Signer:
+    """Signatures of sets for one threshold."""
+
+    def __init__(self, percent: int, levels: np.ndarray):
+        self.percent, self.levels = percent, levels
+        self.starts, self.most = classes(percent)
+
+    def signatures(self, own: np.ndarray) -> np.ndarray:
+        """64-bit signatures of a set that is not empty, from the first halves of its hashes."""
+        own, n = own[0], own.shape[1]
+        c = int(np.searchsorted(self.starts, n, side="right")) - 1
+        common = self.levels[(own & _U(len(self.levels) - 1)).astype(np.int64)]
+        content, out = mixed(own), []
+        for scheme in (c, c - 1):
+            if scheme < 0 or n > (self.starts[scheme + 1] - 1) * 100 // self.percent:
+                continue
+            spare = self.most[scheme]
+            m = 2 * spare + 1
+            place = ((own >> _U(32)) * _U(m) >> _U(32)).astype(np.int64)
+            count = np.bincount(place, minlength=m)
+            first = np.flatnonzero(np.diff(place, prepend=-1))
+            sums, rarest = np.zeros(m, dtype=np.uint64), np.full(m, 255, dtype=np.uint8)
+            sums[place[first]] = np.add.reduceat(content, first)
+            rarest[place[first]] = np.minimum.reduceat(common, first)
+            names = mixed(mixed(sums + count.astype(np.uint64)) + np.arange(m, dtype=np.uint64) * _U(0x9E3779B97F4A7C15) + _U(scheme << 40))
+            out.append(names[np.lexsort((names, -count, rarest))[: m - spare]])
+        return np.concatenate(out)
+
+
+def mapper(width: int, percent: int, levels: np.ndarray, bins: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A row for each document, and for each bin the signatures that fall into it with the positions of their owners.
 
     Owners are numbered within the task; the first document with a set stands for all in the task that have it. Of a
@@ -91,7 +161,7 @@ def mapper(width: int, percent: int, bins: int) -> Callable[[Iterable[pa.RecordB
         return pa.RecordBatch.from_arrays([pa.array(columns.get(x, [None] * n), types.get(x, pa.int64())) for x in names], names=names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, base, known = Hasher(width), TaskContext.get().partitionId() << 32, {}
+        hasher, signer, base, known = Hasher(width), Signer(percent, levels), TaskContext.get().partitionId() << 32, {}
         held: list[np.ndarray] = []
         owners: list[np.ndarray] = []
 
@@ -113,21 +183,22 @@ def mapper(width: int, percent: int, bins: int) -> Callable[[Iterable[pa.RecordB
 
         seen = 0
         for batch in small_batches(batches):
-            sets = hasher.sets([t or "" for t in batch.column(1).to_pylist()])
-            uids, digests = [], []
-            for own in sets:
+            uids, digests, sizes = [], [], []
+            for text in batch.column(1).to_pylist():
+                own = hasher.set_of(text)
                 key = digest(own)
                 if key not in known:
                     known[key] = len(known)
-                    if len(own):
-                        new = signatures(own, percent)
+                    if own.shape[1]:
+                        new = signer.signatures(own)
                         held.append(new)
                         owners.append(np.full(len(new), known[key], dtype=np.uint32))
                         seen += len(new)
                 uids.append(base + known[key])
                 digests.append(key)
+                sizes.append(own.shape[1])
             spread = [bins + u % bins for u in uids]
-            yield rows(bin=spread, uid=uids, doc_id=batch.column(0).to_pylist(), n=[len(s) for s in sets], d1=[d[0] for d in digests], d2=[d[1] for d in digests])
+            yield rows(bin=spread, uid=uids, doc_id=batch.column(0).to_pylist(), mark=batch.column(2).to_pylist(), n=sizes, d1=[d[0] for d in digests], d2=[d[1] for d in digests])
             if seen >= HELD:
                 yield from flush()
                 seen = 0
@@ -156,76 +227,167 @@ def binned(table: pa.Table) -> pa.Table:
     fresh, centre = starred(sigs, owners)
     edges = np.unique(np.stack([owners[~fresh], centre[~fresh]], axis=1), axis=0)
     n = len(edges)
-    return pa.table([pa.array(edges[:, 0]), pa.array(edges[:, 1]), *(pa.nulls(n, pa.int64()) for _ in range(4))], names=names)
-
-
-def verifier(width: int, percent: int) -> Callable[[pa.Table], pa.Table]:
-    """Links of the groups in a table of (root, i, j, block, uid, d1, d2, text), as edges of spanning forests."""
-
-    def verify(table: pa.Table) -> pa.Table:
-        hasher, edges = Hasher(width), []
-        groups: dict[tuple, list[dict]] = {}
-        for row in table.to_pylist():
-            groups.setdefault((row["root"], row["i"], row["j"]), []).append(row)
-        for (_, i, j), members in sorted(groups.items()):
-            found: dict[int, tuple[int, np.ndarray]] = {}
-            for start in range(0, len(members), 256):
-                part = members[start : start + 256]
-                for row, own in zip(part, hasher.sets([r["text"] or "" for r in part]), strict=True):
-                    if digest(own) == (row["d1"], row["d2"]):  # another text may have the same identifier
-                        found[row["uid"]] = row["block"], own
-            first = [u for u in sorted(found) if found[u][0] == i]
-            second = [u for u in sorted(found) if found[u][0] == j] if i != j else None
-            uids = first + (second or [])
-            made = linked([found[u][1] for u in first], None if second is None else [found[u][1] for u in second], percent)
-            edges += [(uids[a], uids[b]) for a, b in made]
-        a, b = zip(*edges, strict=True) if edges else ((), ())
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["u", "v"])
-
-    return verify
-
-
-def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs.
+    return pa.table([pa.array(edges[:, 0]), pa.array(edges[:, 1]), *(pa.nulls(n, pa.int64()) for _ in names[2:])], names=names)
 
-    A-Z are lower-cased, words are runs of other than ASCII white space. component_id is the smallest doc_id reachable
-    by links, the row's own included; a row without words or text has 0 shingles and links with nothing, so its
-    component is its own doc_id. Null ids are never a component's id unless it has no other. Repeated rows are equal
-    sets and share a component. An empty table gives no rows; other columns are ignored.
-    """
+
+# --- trees ------------------------------------------------------------------------------------------------------------
+
+#: What the tree of a block gives: links (u, v); of a group of several blocks also the sets, and for each block its root's signature.
+TREES = "u long, v long, root long, block int, uid long, own binary, low long, high long, hidden long, bits binary"
+_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+
+
+def tree_rows(n: int, **columns) -> pa.RecordBatch:
+    names = [x.split()[0] for x in TREES.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(columns.get(x, [None] * n), t) for x, t in zip(names, _TYPES, strict=True)], names=names)
+
+
+def edge_rows(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+    return tree_rows(len(edges), u=[a for a, _ in edges], v=[b for _, b in edges])
+
+
+def within_blocks(width: int, percent: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows are (root, block, uid, blocks, home, d1, d2, text) in order of root and block."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher(width)
+        for (root, block), rows in groups_in_order(batches, 2):
+            found: dict[int, tuple[np.ndarray, bool]] = {}
+            for row in (r for part in rows.to_batches(max_chunksize=64) for r in part.to_pylist()):
+                if row["uid"] not in found:
+                    own = hasher.set_of(row["text"])
+                    if digest(own) == (row["d1"], row["d2"]):  # another text may have the same identifier and mark
+                        found[row["uid"]] = own, row["home"] == block
+            uids = sorted(found)
+            sets = [found[u][0] for u in uids]
+            yield edge_rows([(uids[a], uids[b]) for a, b in linked(sets, None, percent)])
+            if rows.column("blocks")[0].as_py() > 1:
+                at_home = [u for u in uids if found[u][1]]
+                for u in at_home:
+                    yield tree_rows(1, root=[root], block=[block], uid=[u], own=[found[u][0].tobytes()])
+                if at_home:
+                    low, high, hidden, bits = block_signature([found[u][0] for u in at_home])
+                    yield tree_rows(1, root=[root], block=[block], low=[low], high=[high], hidden=[hidden], bits=[bits])
+
+    return run
+
+
+def overlapping(percent: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Keeps the pairs of blocks whose root signatures leave a possible overlap; rows are (root, i, j, and both signatures)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for r in batch.to_pylist():
+                both = int(np.bitwise_count(np.frombuffer(r["bits"], np.uint8) & np.frombuffer(r["other_bits"], np.uint8)).sum())
+                keep.append(may_link((r["low"], r["high"]), (r["other_low"], r["other_high"]), both + min(r["hidden"], r["other_hidden"]), percent))
+            yield batch.select(["root", "i", "j"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def between_blocks(percent: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows are (root, i, j, block, uid, label, own) in order of root, i and j."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, i, j), rows in groups_in_order(batches, 3):
+            sides = {i: [], j: []}
+            for uid, label, block, own in zip(*(rows.column(x).to_pylist() for x in ("uid", "label", "block", "own")), strict=True):
+                sides[block].append((uid, label, np.frombuffer(own, dtype=np.uint64).reshape(2, -1)))
+            first, second = sorted(sides[i], key=lambda x: x[0]), sorted(sides[j], key=lambda x: x[0])
+            uids, labels = [x[0] for x in first + second], [x[1] for x in first + second]
+            made = linked([x[2] for x in first], [x[2] for x in second], percent, labels)
+            yield pa.RecordBatch.from_arrays([pa.array([uids[a] for a, _ in made], pa.int64()), pa.array([uids[b] for _, b in made], pa.int64())], names=["u", "v"])
+
+    return run
+
+
+def labelled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """nodes (with uid) and label, the smallest uid that edges tie theirs to."""
+    return nodes.join(components(edges).select(F.col("node").alias("uid"), F.col("root").alias("label")), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
+
+
+def tree_links(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Edges (u, v) that tie all linked sets together; texts has root, block, uid, blocks, home, d1, d2, text."""
+    dealt = texts.repartition("root", "block").sortWithinPartitions("root", "block")
+    made = checkpointed(dealt.mapInArrow(within_blocks(width, percent), TREES))
+    edges = made.where("u is not null").select("u", "v")
+    sets = made.where("own is not null").select("root", "block", "uid", "own")
+    signed = made.where("bits is not null").select("root", "block", "low", "high", "hidden", "bits")
+    if signed.isEmpty():
+        return edges
+    members = checkpointed(labelled(sets.select("root", "block", "uid"), edges))
+    ranges = members.groupBy("root", "block").agg(F.min("label").alias("first"), F.max("label").alias("last"))
+    roots = signed.join(ranges, ["root", "block"])
+    others = roots.select("root", F.col("block").alias("j"), *(F.col(c).alias(f"other_{c}") for c in ("low", "high", "hidden", "bits", "first", "last")))
+    apart = (F.col("first") != F.col("last")) | (F.col("other_first") != F.col("other_last")) | (F.col("first") != F.col("other_first"))
+    pairs = roots.withColumnRenamed("block", "i").join(others, "root").where((F.col("i") < F.col("j")) & apart)
+    names = ["root", "i", "j", "low", "high", "hidden", "bits", "other_low", "other_high", "other_hidden", "other_bits"]
+    pairs = pairs.select(*names).mapInArrow(overlapping(percent), "root long, i int, j int")
+    sides = pairs.select("*", F.explode(F.array("i", "j")).alias("block"))
+    whole = sets.join(members.select("uid", "label"), "uid")
+    spread = sides.join(whole, ["root", "block"]).select("root", "i", "j", "block", "uid", "label", "own")
+    spread = spread.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    more = spread.mapInArrow(between_blocks(percent), "u long, v long")
+    return edges.unionByName(checkpointed(more))
+
+
+def _joined(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, block_sets: int) -> DataFrame:
+    """doc_id, mark, n, component_id, and whether the row's identifier and mark are those of the row that its component keeps."""
     spark = docs.sparkSession
-    bins = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = checkpointed(source.mapInArrow(mapper(width, percent, bins), MAPPED).groupBy("bin").applyInArrow(binned, FOUND))
-    members = found.where("v is null").select("doc_id", F.col("u").alias("uid"), "n", "d1", "d2")
-    sets = checkpointed(members.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.min("uid").alias("uid")))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bins = 4 * tasks
+    # a row is found again by identifier and a hash of its text, so that rows without an identifier don't all meet
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
+    levels = commonness(source, width)
+    found = checkpointed(source.mapInArrow(mapper(width, percent, levels, bins), MAPPED).groupBy("bin").applyInArrow(binned, FOUND))
+    members = found.where("v is null").select("doc_id", "mark", F.col("u").alias("uid"), "n", "d1", "d2")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")
+    sets = members.where("n > 0").groupBy("d1", "d2").agg(F.min(row).alias("row"), F.min("uid").alias("uid"), F.min("n").alias("n"))
+    sets = checkpointed(sets.select("d1", "d2", "uid", "n", "row"))
     equal = members.where("n > 0").select("uid", "d1", "d2").distinct().join(sets.select("d1", "d2", F.col("uid").alias("v")), ["d1", "d2"]).select(F.col("uid").alias("u"), "v")
     candidates = components(found.where("v is not null").select("u", "v").unionByName(equal))
 
     roots = candidates.select(F.col("root").alias("uid"), "root").distinct()
     grouped = sets.join(candidates.select(F.col("node").alias("uid"), "root").unionByName(roots), "uid")
-    sizes = grouped.groupBy("root").agg(F.count("*").alias("size")).where("size > 1")
-    grouped = grouped.join(sizes, "root").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
-    grouped = grouped.withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
-    texts = grouped.withColumnRenamed("doc_id", "_id").join(source, F.col("_id").eqNullSafe(F.col("doc_id")))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    paired = texts.withColumn("other", other).select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "uid", "d1", "d2", "text")
-    spread = paired.withColumn("bin", F.pmod(F.xxhash64("root", "i", "j"), F.lit(bins)))
-    links = spread.groupBy("bin").applyInArrow(lambda t: verifier(width, percent)(t.drop_columns(["bin"])), "u long, v long")
-    joined = components(links)
-
-    whole = sets.join(joined.select(F.col("node").alias("uid"), "root"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-    smallest = whole.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = whole.join(smallest, "root").select("d1", "d2", "component_id")
-    some = members.where("n > 0").join(named, ["d1", "d2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return some.unionByName(members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
-
-
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **join) -> DataFrame:
-    """docs with one row of each component, the one that gives it its id, in its own columns.
-
-    Identifiers are taken to be unique, as they are after exact deduplication; rows that share one stay or go together.
+    order = F.xxhash64("uid")
+    sizes = grouped.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"), *(f("uid", order).alias(a) for f, a in ((F.min_by, "hub"), (F.max_by, "hub_2")))).where("size > 1")
+    # by shingles; groups of many sets in so many blocks that their pairs keep all tasks busy
+    blocks = F.greatest(F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.least(F.ceil(F.col("size") / block_sets), F.lit(int(np.ceil((2 * tasks) ** 0.5)))))
+    grouped = grouped.join(sizes, "root").withColumn("blocks", blocks.cast("int"))
+    grouped = grouped.withColumn("home", F.pmod(F.xxhash64("uid", F.lit("block")), F.col("blocks")).cast("int"))
+    everywhere = F.col("uid").isin(F.col("hub"), F.col("hub_2"))
+    grouped = grouped.select("root", "uid", "blocks", "home", "d1", "d2", F.col("row.doc_id").alias("_id"), F.col("row.mark").alias("_mark"), everywhere.alias("hub"))
+    texts = grouped.join(source, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_mark") == F.col("mark"))).drop("_id", "_mark", "doc_id", "mark")
+    texts = texts.withColumn("block", F.explode(F.when(F.col("hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("home"))))
+    links = tree_links(texts.select("root", "block", "uid", "blocks", "home", "d1", "d2", "text"), width, percent)
+
+    whole = labelled(sets, links)
+    kept = whole.groupBy("label").agg(F.min("row").alias("kept"))
+    named = whole.join(kept, "label").select("d1", "d2", "kept")
+    some = members.where("n > 0").join(named, ["d1", "d2"])
+    some = some.select("doc_id", "mark", "n", F.col("kept.doc_id").alias("component_id"), (row == F.col("kept")).alias("stays"))
+    return some.unionByName(members.where("n = 0").select("doc_id", "mark", "n", F.col("doc_id").alias("component_id"), F.lit(True).alias("stays")))
+
+
+def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, percent: int = PERCENT, block_sets: int = BLOCK_SETS) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs.
+
+    A-Z are lower-cased, words are runs of other than ASCII white space. component_id is the smallest doc_id reachable
+    by links, the row's own included; a row without words or text has 0 shingles and links with nothing, so its
+    component is its own doc_id. Null ids are never a component's id unless it has no other. Repeated rows are equal
+    sets and share a component, as all texts with the same set do (ties). Very long texts are read whole, cut into words a
+    megabyte at a time. An empty table gives no rows; other columns are ignored, whatever they are called.
+    """
+    return _joined(docs, id_col, text_col, width, percent, block_sets).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, percent: int = PERCENT, block_sets: int = BLOCK_SETS) -> DataFrame:
+    """docs with one row of each component, in its own columns: the one with the smallest doc_id, null ids last.
+
+    Rows without words all stay. Rows that repeat both identifier and text stay or go together, as exact deduplication is there for
+    them; what ngram_components says of other cases holds here too.
     """
-    kept = ngram_components(docs, id_col=id_col, **join).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), F.col(id_col).cast("long").alias("id"))
-    return whole.join(kept, F.col("id").eqNullSafe(F.col("doc_id")), "left_semi").select("whole.*")
+    kept = _joined(docs, id_col, text_col, width, percent, block_sets).where("stays").select("doc_id", F.col("mark").alias("kept_mark")).distinct()
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"))
+    return whole.join(kept, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("mark") == F.col("kept_mark")), "left_semi").select("whole.*")

@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,8 +51,41 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def small_batches(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Slices of at most so many rows, so that what a task holds beside its input stays bounded."""
+def small_batches(batches: Iterable[pa.RecordBatch], rows: int = 256, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Slices of at most so many rows and bytes of text, or a single row, so that what a task holds beside its input stays bounded."""
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        weight = np.zeros(batch.num_rows, dtype=np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+                weight += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(weight)
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, min(start + rows, int(np.searchsorted(ends, before + size, side="right"))))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
+def groups_in_order(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:
+    """Each key, the values of the first ``keys`` columns, with its rows, of batches that are sorted by them; one key at a time."""
+    held: list[pa.RecordBatch] = []
+    now: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        fresh = np.zeros(batch.num_rows, dtype=bool)
+        fresh[0] = True
+        for column in batch.columns[:keys]:
+            own = column.to_numpy(zero_copy_only=False)
+            fresh[1:] |= own[1:] != own[:-1]
+        cuts = [*np.flatnonzero(fresh).tolist(), batch.num_rows]
+        for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
+            key = tuple(c[start].as_py() for c in batch.columns[:keys])
+            if key != now and held:
+                yield now, pa.Table.from_batches(held)
+                held = []
+            now = key
+            held.append(batch.slice(start, stop - start))
+    if held:
+        yield now, pa.Table.from_batches(held)

@@ -1,15 +1,26 @@
-"""Sets of word shingles as sorted 64-bit hashes, computed for a batch of texts at once."""
+"""Sets of word shingles as sorted 128-bit hashes.
+
+A word's hash is its BLAKE2b digest of 128 bits, under a key of this module; a shingle's two halves are linear forms, with odd
+weights by position, of the halves of its words' digests. Two different shingles agree with probability about 2**-128,
+whatever the words look like; so do the digests of different sets.
+"""
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
 import numpy as np
 
-_SPACES = bytes([9, 10, 11, 12, 13])
-#: Every byte as itself, but A-Z as a-z and the six white-space characters as a space.
-_BYTES = bytes(32 if b in _SPACES else b + 32 if 65 <= b <= 90 else b for b in range(256))
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+from seriesloom.llm.shared import SPACE
+
 _U = np.uint64
+_KEY = b"word shingles"
+_GAP = re.compile(rf"[{SPACE}]".encode())
+#: Distinct words that a hasher remembers, the longest of them, and the bytes of a text that are cut into words at once.
+MOST_WORDS, LONGEST, AT_ONCE = 1 << 17, 64, 1 << 20
+EMPTY = np.zeros((2, 0), dtype=np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -21,64 +32,79 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * _U(_BASE))
-_WEIGHTS = mixed(np.arange(301, 317, dtype=np.uint64) * _U(_BASE)) | _U(1)
+class _Digests(dict):
+    """Digest of each word; forgets all when it has too many."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        made = hashlib.blake2b(word, digest_size=16, key=_KEY).digest()
+        if len(word) <= LONGEST:
+            if len(self) >= MOST_WORDS:
+                self.clear()
+            self[word] = made
+        return made
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    """base**0 ... base**(n-1) modulo 2**64, by doubling."""
-    out = np.ones(max(n, 1), dtype=np.uint64)
-    have, top = 1, base
-    while have < n:
-        more = min(have, n - have)
-        out[have : have + more] = out[:more] * _U(top)
-        have, top = have + more, top * top % (1 << 64)
-    return out
+def _pieces(data: bytes) -> Iterator[bytes]:
+    """data in pieces of about AT_ONCE bytes that end at white space."""
+    start = 0
+    while len(data) - start > AT_ONCE:
+        gap = _GAP.search(data, start + AT_ONCE)
+        if gap is None:
+            break
+        yield data[start : gap.start()]
+        start = gap.end()
+    yield data[start:] if start else data
 
 
 class Hasher:
-    """Word and shingle hashes; keeps the tables of powers."""
+    """Shingles of texts, A-Z lower-cased; words are runs of other than ASCII white space."""
 
     def __init__(self, width: int):
         self.width = width
-        self.up = self.down = np.ones(1, dtype=np.uint64)
-
-    def words(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Hash and first position of each run of bytes other than spaces."""
-        raw = np.frombuffer(data, dtype=np.uint8)
-        if len(self.up) < len(raw) + 1:
-            n = 1 << (len(raw) + 1).bit_length()
-            self.up, self.down = _powers(_BASE, n), _powers(_INVERSE, n)
-        edge = np.diff(np.concatenate([[0], (raw != 32).view(np.int8), [0]]))
-        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        total = np.zeros(len(raw) + 1, dtype=np.uint64)
-        np.cumsum(_VALUES[raw] * self.up[: len(raw)], out=total[1:])
-        return mixed((total[end] - total[start]) * self.down[start] + (end - start).astype(np.uint64) * _U(_BASE)), start
-
-    def sets(self, texts: list[str]) -> list[np.ndarray]:
-        """The sorted distinct shingles of each text; a text of fewer words than a shingle has is one shingle."""
-        coded = [t.encode("utf-8", "surrogatepass").translate(_BYTES) for t in texts]
-        words, start = self.words(b" ".join(coded))
-        lengths = np.array([len(c) + 1 for c in coded], dtype=np.int64)
-        first = np.searchsorted(start, np.concatenate([[0], np.cumsum(lengths)]))
-        n = len(words) - self.width + 1
-        grams = np.zeros(max(n, 0), dtype=np.uint64)
-        for k in range(self.width):
-            grams += words[k : k + len(grams)] * _WEIGHTS[k]
-        grams = mixed(grams)
-        out = []
-        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-            if b - a >= self.width:
-                own = np.sort(grams[a : b - self.width + 1])
-                out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
-            elif b > a:
-                out.append(mixed((words[a:b] * _WEIGHTS[8 : 8 + b - a]).sum(keepdims=True, dtype=np.uint64) + _U(b - a)))
-            else:
-                out.append(grams[:0])
-        return out
+        self.digests = _Digests()
+        self.weights = mixed(np.arange(1, 2 * width + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)).reshape(2, width) | _U(1)
+
+    def words(self, text: str) -> np.ndarray:
+        """128-bit digests of the words, two columns."""
+        digest = self.digests.__getitem__
+        # the bytes methods know exactly the six white-space characters and A-Z
+        joined = b"".join(b"".join(map(digest, piece.split())) for piece in _pieces(text.encode("utf-8", "surrogatepass").lower()))
+        return np.frombuffer(joined, dtype="<u8").reshape(-1, 2)
+
+    def shingles(self, text: str | None) -> np.ndarray:
+        """Two rows, the halves of each shingle in order; fewer words than a shingle has make one shingle, none make none."""
+        words = self.words(text) if text else EMPTY.T
+        if not len(words):
+            return EMPTY
+        n = max(1, len(words) - self.width + 1)
+        out = np.zeros((2, n), dtype=np.uint64)
+        for k in range(min(self.width, len(words))):
+            for half in (0, 1):
+                out[half] += words[k : k + n, half] * self.weights[half, k]
+        if len(words) < self.width:
+            out += mixed(np.array([[len(words)], [len(words) + self.width]], dtype=np.uint64))
+        return mixed(out)
+
+    def set_of(self, text: str | None) -> np.ndarray:
+        """The distinct shingles in order, two rows."""
+        return distinct(self.shingles(text))
+
+
+def distinct(grams: np.ndarray) -> np.ndarray:
+    """Columns in order and once each."""
+    if grams.shape[1] < 2:
+        return grams
+    made = grams[:, np.argsort(grams[0])]
+    same = made[0, 1:] == made[0, :-1]
+    if same.any():
+        if (made[1, 1:] != made[1, :-1])[same].any():  # halves that agree by chance
+            made = grams[:, np.lexsort((grams[1], grams[0]))]
+            same = (made[:, 1:] == made[:, :-1]).all(axis=0)
+        made = made[:, np.concatenate([[True], ~same])]
+    return np.ascontiguousarray(made)
 
 
 def digest(own: np.ndarray) -> tuple[int, int]:
     """128 bits that stand for the set."""
-    a, b = mixed(own ^ _U(0x5851F42D4C957F2D)).sum(dtype=np.uint64), mixed(own + _U(0x14057B7EF767814F)).sum(dtype=np.uint64)
-    return int(a.astype(np.int64)), int(b.astype(np.int64))
+    made = hashlib.blake2b(own.tobytes(), digest_size=16, key=_KEY).digest()
+    return int.from_bytes(made[:8], "little", signed=True), int.from_bytes(made[8:], "little", signed=True)
