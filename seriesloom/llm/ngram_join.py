@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm.components import components
-from seriesloom.llm.shared import checkpointed, groups_in_order, small_batches
-from seriesloom.llm.shingles import Hasher, digest, mixed
+from seriesloom.llm.shared import checkpointed, groups_in_order, joined_anew, small_batches
+from seriesloom.llm.shingles import EMPTY, Hasher, digest, mixed
 from seriesloom.llm.signature_tree import block_signature, linked, may_link
 
 WORDS, PERCENT = 4, 85
@@ -65,10 +65,15 @@ def counter(width: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Reco
     """Occurrences of shingles by the low bits of their hashes, over a task's texts."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, counts = Hasher(width), np.zeros(COUNTERS, dtype=np.int64)
+        hasher, counts, held, seen = Hasher(width), np.zeros(COUNTERS, dtype=np.int64), [EMPTY[0]], 0
         for batch in small_batches(batches):
-            grams = [hasher.shingles(t)[0] for t in batch.column(0).to_pylist()]
-            counts += np.bincount((np.concatenate(grams) & _U(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+            for text in batch.column(0).to_pylist():
+                held.append(hasher.shingles(text, halves=1)[0])
+                seen += len(held[-1])
+            if seen >= COUNTERS:
+                counts += np.bincount((np.concatenate(held) & _U(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+                held, seen = [EMPTY[0]], 0
+        counts += np.bincount((np.concatenate(held) & _U(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
         yield from packed_counts(TaskContext.get().partitionId(), counts)
 
     return count
@@ -354,7 +359,7 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
     sizes = grouped.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"), *(f("uid", order).alias(a) for f, a in ((F.min_by, "hub"), (F.max_by, "hub_2")))).where("size > 1")
     # by shingles; groups of many sets in so many blocks that their pairs keep all tasks busy
     blocks = F.greatest(F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.least(F.ceil(F.col("size") / block_sets), F.lit(int(np.ceil((2 * tasks) ** 0.5)))))
-    grouped = grouped.join(sizes, "root").withColumn("blocks", blocks.cast("int"))
+    grouped = joined_anew(grouped, sizes, "root").withColumn("blocks", blocks.cast("int"))
     grouped = grouped.withColumn("home", F.pmod(F.xxhash64("uid", F.lit("block")), F.col("blocks")).cast("int"))
     everywhere = F.col("uid").isin(F.col("hub"), F.col("hub_2"))
     grouped = grouped.select("root", "uid", "blocks", "home", "d1", "d2", F.col("row.doc_id").alias("_id"), F.col("row.mark").alias("_mark"), everywhere.alias("hub"))
@@ -364,7 +369,7 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
 
     whole = labelled(sets, links)
     kept = whole.groupBy("label").agg(F.min("row").alias("kept"))
-    named = whole.join(kept, "label").select("d1", "d2", "kept")
+    named = joined_anew(whole, kept, "label").select("d1", "d2", "kept")
     some = members.where("n > 0").join(named, ["d1", "d2"])
     some = some.select("doc_id", "mark", "n", F.col("kept.doc_id").alias("component_id"), (row == F.col("kept")).alias("stays"))
     return some.unionByName(members.where("n = 0").select("doc_id", "mark", "n", F.col("doc_id").alias("component_id"), F.lit(True).alias("stays")))

@@ -42,6 +42,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def joined_anew(rows: DataFrame, per_key: DataFrame, key: str) -> DataFrame:
+    """rows with the one row that per_key has for a key of type long.
+
+    Both sides are dealt out for this join alone, on a key that neither has been dealt out by, so that Spark can split a hot key's rows.
+    """
+    return rows.withColumn("_anew", -F.col(key)).join(per_key.withColumn("_anew", -F.col(key)).drop(key), "_anew").drop("_anew")
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -71,18 +71,18 @@ class Hasher:
         joined = b"".join(b"".join(map(digest, piece.split())) for piece in _pieces(text.encode("utf-8", "surrogatepass").lower()))
         return np.frombuffer(joined, dtype="<u8").reshape(-1, 2)
 
-    def shingles(self, text: str | None) -> np.ndarray:
-        """Two rows, the halves of each shingle in order; fewer words than a shingle has make one shingle, none make none."""
+    def shingles(self, text: str | None, halves: int = 2) -> np.ndarray:
+        """Two rows, the halves of each shingle in order, or the first alone; fewer words than a shingle has make one shingle, none make none."""
         words = self.words(text) if text else EMPTY.T
         if not len(words):
-            return EMPTY
+            return EMPTY[:halves]
         n = max(1, len(words) - self.width + 1)
-        out = np.zeros((2, n), dtype=np.uint64)
+        out = np.zeros((halves, n), dtype=np.uint64)
         for k in range(min(self.width, len(words))):
-            for half in (0, 1):
+            for half in range(halves):
                 out[half] += words[k : k + n, half] * self.weights[half, k]
         if len(words) < self.width:
-            out += mixed(np.array([[len(words)], [len(words) + self.width]], dtype=np.uint64))
+            out += mixed(np.array([[len(words)], [len(words) + self.width]], dtype=np.uint64))[:halves]
         return mixed(out)
 
     def set_of(self, text: str | None) -> np.ndarray:
