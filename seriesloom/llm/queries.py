@@ -16,7 +16,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(table(spark, sf_dir, "documents"), edits_of=token_counts.noise_edits)
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), [token_counts.noise_edits, token_counts.secret_edits])
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

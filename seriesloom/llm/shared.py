@@ -75,25 +75,30 @@ def small_batches(batches: Iterable[pa.RecordBatch], rows: int = 256, size: int
             start = stop
 
 
+def runs_of(batch: pa.RecordBatch, keys: int) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Each run of equal values in the first ``keys`` columns with its slice."""
+    if not batch.num_rows:
+        return
+    fresh = np.zeros(batch.num_rows, dtype=bool)
+    fresh[0] = True
+    for column in batch.columns[:keys]:
+        own = column.to_numpy(zero_copy_only=False)
+        fresh[1:] |= own[1:] != own[:-1]
+    cuts = [*np.flatnonzero(fresh).tolist(), batch.num_rows]
+    for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
+        yield tuple(c[start].as_py() for c in batch.columns[:keys]), batch.slice(start, stop - start)
+
+
 def groups_in_order(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:
     """Each key, the values of the first ``keys`` columns, with its rows, of batches that are sorted by them; one key at a time."""
     held: list[pa.RecordBatch] = []
     now: tuple | None = None
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        fresh = np.zeros(batch.num_rows, dtype=bool)
-        fresh[0] = True
-        for column in batch.columns[:keys]:
-            own = column.to_numpy(zero_copy_only=False)
-            fresh[1:] |= own[1:] != own[:-1]
-        cuts = [*np.flatnonzero(fresh).tolist(), batch.num_rows]
-        for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
-            key = tuple(c[start].as_py() for c in batch.columns[:keys])
+        for key, part in runs_of(batch, keys):
             if key != now and held:
                 yield now, pa.Table.from_batches(held)
                 held = []
             now = key
-            held.append(batch.slice(start, stop - start))
+            held.append(part)
     if held:
         yield now, pa.Table.from_batches(held)

@@ -10,16 +10,14 @@ from pyspark.sql import functions as F
 
 from seriesloom.llm import ann, language_id, packing, pii, token_counts, toxicity, url_filter
 from seriesloom.llm.shared import table
-from seriesloom.llm.tokens import Encoder, pieces, vocabulary_path
+from seriesloom.llm.tokens import Encoder, vocabulary_path
 
 
 @pytest.fixture(scope="module")
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(vocabulary_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(vocabulary_path())
 
 
 def ids_of(tokenizer, text):
@@ -29,17 +27,19 @@ def ids_of(tokenizer, text):
 # --- tokens, packing, counts ---
 
 
-def test_pieces_give_the_tokenizers_ids(tokenizer, docs):
-    rng = random.Random(2)
+BITS = ["word", " ", "  ", "   ", "\n", " \n", ".", "###", "a", "é", " the", " of", "\t ", "12", "!", "'s", "'", "'r", "e", "ll", "<|endof", "text|>", "<|endoftext|>", "<|", "|>", "\u00a0", "\u2003", "\x1c", "日本", "\U0001f600"]
+
+
+def test_ids_and_pre_tokens_are_the_tokenizers(tokenizer, docs):
+    rng, e = random.Random(2), Encoder()
+    assert e.ids("a <|endoftext|> b").tolist() == ids_of(tokenizer, "a <|endoftext|> b") == [64, 220, 50256, 275]
     texts = [r["text"] for r in docs.select("text").collect() if r["text"] and len(r["text"]) < 5000]
-    alphabet = [" ", "  ", "   ", "\n", " \n", "\t", "a", "bc", "é", "12", "!", "'s", "'", "\u00a0", "\u2003", "\x1c", "<|endoftext|>", "日本", "\U0001f600"]
-    texts += ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 30))) for _ in range(1500)]
-    e = Encoder()
+    texts += ["".join(rng.choice(BITS) for _ in range(rng.randint(1, 30))) for _ in range(1500)]
     for t in texts:
-        assert e.ids(t).tolist() == ids_of(tokenizer, t), repr(t)
-        parts = pieces(t)
+        ids, parts = ids_of(tokenizer, t), e.pre_tokens(t)
+        assert e.ids(t).tolist() == ids, repr(t)
         assert "".join(parts) == t
-        assert e.counts(parts).tolist() == [len(ids_of(tokenizer, p)) for p in parts], repr(t)
+        assert e.counts(parts).sum() == len(ids) and [x for p in parts for x in e.ids(p)] == ids, repr(t)
 
 
 @pytest.mark.parametrize("open_windows", [1, 4, 64])
@@ -84,16 +84,6 @@ def test_packing_nothing(no_docs):
     assert packing.pack(no_docs).count() == 0
 
 
-def test_token_counts(docs, tokenizer):
-    rows = token_counts.token_counts(docs, edits_of=token_counts.noise_edits).collect()
-    want = Counter()
-    for r in docs.select("doc_id", "text").collect():
-        text = r["text"] or ""
-        edits = token_counts.noise_edits(text)
-        want[r["doc_id"], len(ids_of(tokenizer, text)), len(edits), len(ids_of(tokenizer, edited(text, edits)))] += 1
-    assert Counter((r["doc_id"], r["n_tokens"], r["n_edits"], r["n_tokens_edited"]) for r in rows) == want
-
-
 def edited(text, edits):
     out, at = [], 0
     for a, b, new in edits:
@@ -102,26 +92,60 @@ def edited(text, edits):
     return "".join([*out, text[at:]])
 
 
+def test_token_counts(spark, docs, no_docs, tokenizer):
+    steps = [token_counts.noise_edits, token_counts.secret_edits]
+    secret = "0123456789abcdef" * 2 + "01234567"
+    more = spark.createDataFrame([(100, f"a ### b {secret}"), (100, f"a ### b {secret}"), (None, f"<|endoftext|>##### {secret}")], "doc_id long, text string")
+    df = docs.select("doc_id", "text").unionByName(more)
+    want = Counter()
+    for r in df.collect():
+        text = r["text"] or ""
+        row = [r["doc_id"], len(ids_of(tokenizer, text))]
+        for step in steps:
+            edits = step(text)
+            text = edited(text, edits)
+            row += [len(edits), len(ids_of(tokenizer, text))]
+        want[tuple(row)] += 1
+    rows = token_counts.token_counts(df, steps).collect()
+    assert Counter((r["doc_id"], r["n_tokens"], r["edits_1"], r["tokens_1"], r["edits_2"], r["tokens_2"]) for r in rows) == want
+    assert all((r["encoded_1"] > 0) == (r["edits_1"] > 0) for r in rows)
+    assert token_counts.token_counts(no_docs, steps).count() == 0
+
+
 def test_edits_match_encoding_again(tokenizer):
     rng, e = random.Random(8), Encoder()
-    bits = ["word", " ", "  ", "\n", ".", "###", "é", " the", " of", "\t ", "12"]
-    for _ in range(400):
-        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 60)))
-        cuts = sorted(rng.sample(range(len(text) + 1), min(len(text) + 1, 2 * rng.randint(0, 3)) // 2 * 2))
-        edits = [(a, b, "".join(rng.choice(bits) for _ in range(rng.randint(0, 3)))) for a, b in zip(cuts[::2], cuts[1::2], strict=True)]
-        tree = token_counts.TokenTree(e, text)
-        assert tree.total == len(ids_of(tokenizer, text))
-        tree.apply(edits)
-        assert tree.text() == edited(text, edits)
-        assert tree.total == len(ids_of(tokenizer, edited(text, edits))), (text, edits)
-        assert tree.total == tree.sums[tree.size :].sum()
-
-
-def test_edits_from_a_column(spark):
-    df = spark.createDataFrame([(1, "one two ### three", [(8, 11, "four")]), (2, "x", None), (3, None, [(0, 0, "new text")])], "doc_id long, text string, edits array<struct<start: int, end: int, text: string>>")
-    rows = {r["doc_id"]: r for r in token_counts.token_counts(df, edits_col="edits").collect()}
-    assert rows[1]["n_edits"] == 1 and rows[2]["n_edits"] == 0 and rows[3]["n_tokens_edited"] == 2
-    assert 0 < rows[1]["n_pieces_encoded_again"] <= 4
+    again = whole = 0
+    for _ in range(500):
+        tree = token_counts.TokenTree(e, "".join(rng.choice(BITS) for _ in range(rng.randint(0, rng.choice([6, 60, 300])))))
+        for _ in range(4):
+            text = tree.text
+            cuts = sorted(rng.sample(range(len(text) + 1), min(len(text) + 1, 2 * rng.randint(0, 3)) // 2 * 2))
+            edits = [(a, b, "".join(rng.choice(BITS) for _ in range(rng.randint(0, 3)))) for a, b in zip(cuts[::2], cuts[1::2], strict=True)]
+            tree = token_counts.TokenTree(e, text, token_counts.unpacked(token_counts.packed(tree.lengths)), [token_counts.unpacked(token_counts.packed(x)) for x in tree.levels])
+            tree.apply(edits)
+            assert tree.text == edited(text, edits) and tree.lengths.sum() == len(tree.text)
+            assert tree.total == len(ids_of(tokenizer, tree.text)) == tree.levels[0].sum(), (text, edits)
+            again, whole = again + tree.encoded, whole + len(e.pre_tokens(tree.text))
+    assert again < 0.6 * whole
+
+
+def test_an_edit_of_a_long_text_encodes_a_few_pre_tokens():
+    tree = token_counts.TokenTree(Encoder(), "some words of a text " * 20_000)
+    built = tree.encoded
+    for _ in range(20):
+        tree.apply([(200_000, 200_004, "change"), (300_000, 300_000, " more")])
+    assert tree.encoded - built < 20 * 60 and tree.total == len(Encoder().ids(tree.text))
+
+
+def test_stored_trees_take_batches_of_edits(spark, tmp_path, tokenizer):
+    df = spark.createDataFrame([(1, "one two ### three"), (2, "x"), (3, None), (4, "same"), (4, "same"), (None, "none")], "doc_id long, text string").withColumn("edits", F.lit("mine"))
+    trees = token_counts.store_trees(token_counts.build_trees(df), str(tmp_path / "a"))
+    first = spark.createDataFrame([(1, 8, 11, "four"), (1, 0, 3, "a one"), (3, 0, 0, "new text"), (4, 4, 4, "<|endoftext|>")], "doc_id long, start long, end long, text string")
+    trees = token_counts.store_trees(token_counts.update_trees(token_counts.with_edits(trees, first)), str(tmp_path / "b"))
+    trees = token_counts.update_trees(trees, lambda text: [(0, 1, "Z")] if text else [])
+    rows = trees.select("doc_id", "text", token_counts.token_total().alias("n"), "first_tokens", "encoded").collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in rows) == [("1", "Z one two four three"), ("2", "Z"), ("3", "Zew text"), ("4", "Zame<|endoftext|>"), ("4", "Zame<|endoftext|>"), ("None", "Zone")]
+    assert all(r["n"] == len(ids_of(tokenizer, r["text"])) for r in rows)
 
 
 # --- language ---
