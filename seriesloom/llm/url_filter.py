@@ -1,8 +1,9 @@
 """URL rules by hashed expressions.
 
-Each URL is expanded into host suffixes (by label) joined with path prefixes, for those shapes (number of labels, length
-of path) that some rule has. Expressions and rules meet in an equi-join on the first four bytes of their SHA-256; the
-full digest then confirms, and the longest rule that fits decides.
+Each URL is expanded into its host suffixes (by label), which meet the rules' hosts in an equi-join on the first four bytes of
+a SHA-256; the full digest confirms. For each host found, the path prefixes of the lengths that its rules have give
+expressions, which meet the rules in a second such join. The longest rule that fits decides. Rules are a table of any size:
+nothing of them is collected but the largest number of labels of a host.
 """
 
 from __future__ import annotations
@@ -14,8 +15,6 @@ from seriesloom.llm.shared import checkpointed, lower_ascii
 
 #: Rules of the registered query: verdict, host, path.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-#: Distinct shapes of rules; a host has at most 127 labels, and rule paths of a list have few lengths.
-MOST_SHAPES = 4096
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -43,28 +42,32 @@ def judge(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_co
 
     A rule fits its host and all subdomains where the path starts with the rule's path. Of several that fit the longest
     (host and path together) wins, then the one with the longer host, then block. Without a fitting rule the verdict is
-    default and rule is null. Null urls and urls without :// have empty host and path and fit no rule. Rows that
-    repeat are judged each; an empty table gives no rows.
+    default and rule is null. Null urls and urls without :// have empty host and path and fit no rule; rules with a null host
+    or path fit nothing. Rows that repeat are judged each, and repeated rules count once. Very long urls give one expression per
+    label that some rule's host can have and one per length of such a host's rules. An empty table gives no rows; other
+    columns are ignored, whatever they are called.
     """
     host, path = host_and_path(F.col(url_col))
     rows = checkpointed(pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col), host.alias("host"), path.alias("path")))
-    labels = F.size(F.split("host", r"\.", -1))
-    shapes = [tuple(r) for r in rules.select(labels.alias("k"), F.length("path").alias("n")).distinct().limit(MOST_SHAPES + 1).collect()]
-    if len(shapes) > MOST_SHAPES:
-        raise ValueError(f"rules have more than {MOST_SHAPES} shapes")
+    rules = rules.where("host is not null and path is not null").select("verdict", "host", "path")
+    most = rules.agg(F.max(F.size(F.split("host", r"\.", -1)))).first()[0]
     parts = F.split("host", r"\.", -1)
-
-    def expression(k: int, n: int) -> Column:
-        suffix = F.array_join(F.slice(parts, -k, k), ".")
-        fits = (F.size(parts) >= k) & (F.length("path") >= n) & (F.col("host") != "")
-        return F.when(fits, F.concat(suffix, F.substring("path", 1, n)))
-
-    made = F.filter(F.array(*(expression(k, n) for k, n in sorted(shapes))), lambda x: x.isNotNull()) if shapes else F.array().cast("array<string>")
-    short, full = hashed(F.col("expression"))
-    expanded = rows.select("row", F.explode(made).alias("expression")).select("row", short.alias("short"), full.alias("digest"))
+    labels = F.sequence(F.lit(1), F.least(F.size(parts), F.lit(most or 1)))
+    suffixes = F.when(F.col("host") != "", F.transform(labels, lambda k: F.array_join(F.slice(parts, -k, k), ".")))
+    short, full = hashed(F.col("suffix"))
+    asked = rows.select("row", "path", F.explode(suffixes).alias("suffix")).select("row", "path", "suffix", short.alias("short"), full.alias("digest"))
+    short, full = hashed(F.col("host"))
+    hosts = rules.groupBy("host").agg(F.collect_set(F.length("path")).alias("lengths")).select(short.alias("short"), full.alias("host_digest"), "lengths")
+    met = asked.join(hosts, "short").where(F.col("digest") == F.col("host_digest")).select("row", "path", "suffix", F.explode("lengths").alias("length"))
+    # a line feed can be in a path but not at the end of a rule's host, so an expression has one reading
+    expression = F.concat("suffix", F.lit("\n"), F.substring(F.col("path"), F.lit(1), F.col("length")))
+    short, full = hashed(expression)
+    expanded = met.where(F.length("path") >= F.col("length")).select("row", short.alias("short"), full.alias("digest"))
     rule = F.concat("host", "path")
-    short, full = hashed(rule)
-    known = rules.select(short.alias("short"), full.alias("rule_digest"), F.struct(F.length(rule).alias("length"), F.length("host").alias("host_length"), (F.col("verdict") == "block").alias("blocks"), rule.alias("rule"), F.col("verdict").alias("verdict")).alias("found"))
+    short, full = hashed(F.concat("host", F.lit("\n"), "path"))
+    facts = F.struct(F.length(rule).alias("length"), F.length("host").alias("host_length"), (F.col("verdict") == "block").alias("blocks"), rule.alias("rule"), F.col("verdict").alias("verdict"))
+    # of rules with one expression the one that wins stays
+    known = rules.select(short.alias("short"), full.alias("rule_digest"), facts.alias("found")).groupBy("short", "rule_digest").agg(F.max("found").alias("found"))
     fitting = expanded.join(known, "short").where(F.col("digest") == F.col("rule_digest"))
     best = fitting.groupBy("row").agg(F.max("found").alias("found"))
     return rows.join(best, "row", "left").select(id_col, "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", F.lit(default)).alias("verdict"))

@@ -175,9 +175,60 @@ def test_language_without_labels(docs, no_docs):
     assert language_id.identify(no_docs).count() == 0
 
 
-def test_presence_kernel():
-    a, b = language_id.presence(["abcab", "abc"])
-    assert a.sum() == len({"a", "b", "c", "ab", "bc", "ca", "abc", "bca", "cab"}) and b.sum() == 6 and a @ b == 6
+def plain_grams(text):
+    t = text.lower()
+    return {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+
+
+def test_kernel_against_brute_force(monkeypatch):
+    texts = ["abcab", "abc", "", "é", "ÀBÇ", "x\U0001f600y" * 3, "the cat sat on the mat", "der hund und die katze"]
+    for at_once in (1 << 18, 5, 3):
+        monkeypatch.setattr(language_id, "AT_ONCE", at_once)
+        for a in texts:
+            assert len(language_id.grams(a)) == len(plain_grams(a))
+            for b in texts:
+                x, y = plain_grams(a), plain_grams(b)
+                want = len(x & y) / max(1, len(x) * len(y)) ** 0.5 if x and y else 0
+                assert language_id.kernel(language_id.grams(a), language_id.grams(b)) == pytest.approx(want)
+
+
+def test_scores_against_brute_force(spark, sf):
+    rows = [r for r in table(spark, sf, "documents").where("lang is not null and text is not null").orderBy("doc_id").limit(120).collect()]
+    texts, langs = [r["text"][:3000] for r in rows], [r["lang"] for r in rows]
+    model = language_id.fit(texts, langs, per_language=5)
+    chosen = [i for k in model.languages for i in [j for j, x in enumerate(langs) if x == k][:5]]
+    sets = [plain_grams(t) for t in texts]
+    k = np.array([[len(a & sets[i]) / (len(a) * len(sets[i])) ** 0.5 for i in chosen] for a in sets])
+    values, vectors = np.linalg.eigh(k[chosen])
+    root = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
+    y = np.array([[1.0 if x == name else -1.0 for name in model.languages] for x in langs])
+    w = np.diag([1 / langs.count(x) for x in langs])
+    f = k @ root
+    margins = f @ np.linalg.solve(f.T @ w @ f + language_id.RIDGE * np.eye(len(chosen)) / len(chosen), f.T @ w @ y)
+    assert np.allclose(model.kernels([language_id.grams(t) for t in texts]), k, atol=1e-5)
+    assert np.allclose(model.kernels([language_id.grams(t) for t in texts]) @ model.coefficients, margins, atol=0.02)
+    best, score = model.predict(texts)
+    assert (best == margins.argmax(axis=1)).mean() > 0.98 and ((score > 0) & (score <= 1)).all()
+
+
+def test_long_texts_keep_their_language(spark, sf):
+    docs = table(spark, sf.replace("0.001", "0.01"), "documents")
+    rows = docs.where("lang is not null and text is not null").orderBy("doc_id").collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r["lang"]].append(r["text"])
+    long = spark.createDataFrame([(10_000_000 + i, "\n".join(t)[: 400_000 + i], x) for i, (x, t) in enumerate(sorted(by.items()))], "doc_id long, text string, lang string")
+    out = language_id.identify(docs.select("doc_id", "text", "lang").unionByName(long)).where("doc_id >= 10000000").collect()
+    want = {10_000_000 + i: x for i, x in enumerate(sorted(by))}
+    assert {r["doc_id"]: r["lang_pred"] for r in out} == want
+
+
+def test_language_sample_is_bounded(spark):
+    rows = [(None, f"same text of {x}", x) for x in ("aa", "bb") for _ in range(3000)] + [(i, f"some other text {i} of {i % 2}" + "z" * 40_000 * (i < 3), "ab"[i % 2] * 2) for i in range(0, 3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.training_rows(df, id_col="doc_id", text_col="text", lang_col="lang", most=50)
+    assert Counter(x for _, x in got) == {"aa": 50, "bb": 50} or all(n <= 50 for n in Counter(x for _, x in got).values())
+    assert max(len(t) for t, _ in got) <= language_id.TRAIN_CHARS
 
 
 # --- personal data ---
@@ -333,8 +384,7 @@ def test_ties_go_to_the_smaller_id(spark):
 # --- urls ---
 
 
-def plain_judge(url):
-    rules = url_filter.RULES
+def plain_judge(url, rules=url_filter.RULES):
     rest = url.split("://", 1)[1] if url and "://" in url else ""
     raw = re.match(r"[^/?#]*", rest)[0]
     host = "".join(c.lower() if "A" <= c <= "Z" else c for c in raw)
@@ -353,6 +403,18 @@ def test_urls_against_plain_rules(spark):
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == plain_judge(urls[r["page_id"]]), urls[r["page_id"]]
 
 
+def test_many_shapes_of_rules(spark):
+    rng = random.Random(7)
+    labels = ["a", "b", "c", "org", "x-y"]
+    rules = [(rng.choice(["allow", "block"]), ".".join(rng.choice(labels) for _ in range(rng.randint(1, 6))), "/" + "".join(rng.choice("ab/") for _ in range(rng.randint(0, 40)))) for _ in range(800)]
+    rules += [("block", "a", "/" + "a" * n) for n in range(5000)] + [("allow", None, "/"), ("block", "b", None), rules[0], rules[0]]
+    urls = [f"http://{'.'.join(rng.choice(labels) for _ in range(rng.randint(1, 8)))}/{''.join(rng.choice('ab/') for _ in range(rng.randint(0, 45)))}" for _ in range(400)] + ["http://a/" + "a" * 6000 + "b"]
+    table = url_filter.rule_table(spark, rules)
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), table).collect()}
+    for i, url in enumerate(urls):
+        assert got[i] == plain_judge(url, [r for r in rules if None not in r])[2:], url
+
+
 def test_urls_nothing_to_judge(spark):
     none = spark.createDataFrame([], "page_id long, url string")
     rules = url_filter.rule_table(spark, url_filter.RULES)
