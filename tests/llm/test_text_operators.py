@@ -292,6 +292,33 @@ def test_classifier_adds_likely_spans_and_leaves_others(spark):
     assert clean[0] == "please call <PHONE> or write to <EMAIL>, card <CARD> ok" and clean[79] == bad[39]
 
 
+def test_secrets_and_lookalikes(spark):
+    rng = random.Random(3)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    good = [f"some words token = \"{hexes(40)}\" more" for _ in range(60)] + [f"x AKIA{''.join(rng.choice('ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789') for _ in range(16))} y" for _ in range(60)] + [f"password={hexes(18)} end" for _ in range(60)]
+    bad = [f"see commit {hexes(40)} of the build" for _ in range(60)] + [f"token: {'a' * 12} and password: ........" for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(good + bad)), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in pii.find_personal_data(df).collect()}
+    found = [any(x["kind"] == "secret" for x in rows[i]["found"]) for i in range(len(rows))]
+    assert sum(found[:180]) >= 175 and sum(found[180:]) <= 5
+    one = next(x for x in rows[0]["found"])
+    assert re.fullmatch("[0-9a-f]{40}", good[0][one["start"] : one["end"]])
+
+
+def test_added_spans_follow_the_classifier(spark, sf):
+    df = table(spark, sf, "documents").select("doc_id", "text")
+    rows = pii.find_personal_data(df).collect()
+    texts = [r["text"] for r in df.collect()]
+    all_found = [pii.candidates(t or "") for t in texts]
+    counted = Counter((x["kind"], x["votes"]) for own in all_found for x in own)
+    sample = [(x["kind"], x["votes"], x["features"]) for own in all_found for x in own]
+    distinct = sorted({(k, v, tuple(f)) for k, v, f in sample})
+    weights = pii.fitted([(k, v, n) for (k, v), n in sorted(counted.items())], [(k, v, list(f)) for k, v, f in distinct])
+    want = Counter(",".join(f"{x['kind']}:{x['start']}:{x['end']}" for x in own if x["base"] or weights[x["features"]].sum() > 0) for own in all_found)
+    assert len(distinct) < pii.SAMPLED and Counter(r["spans"] for r in rows) == want
+    assert all(r["n_spans"] == len([x for x in r["spans"].split(",") if x]) for r in rows)
+
+
 def test_expectation_maximisation_finds_reliable_labelers():
     rng, counts = random.Random(1), Counter()
     for _ in range(4000):
@@ -318,6 +345,54 @@ def test_toxicity_learns_and_orders(spark, sf):
     assert all(0 <= r["expected_severity"] <= 2 and (r["grade"] > 0) == r["toxic"] for r in rows)
 
 
+def test_scores_equal_the_formula(spark, docs):
+    model = toxicity.Model({"one": 1.5, "^qqqq": -0.7, "two": 0.25, "^wordy": 2.0}, (0.3, 1.1))
+    df = spark.createDataFrame([(1, "One one two QQQQxy"), (2, "wordyes wordy"), (3, None), (4, "qqqq")], "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
+    for r, text in zip(toxicity.severity(df, model).collect(), [x["text"] for x in df.collect()], strict=True):
+        own = {x.lower() for x in re.findall(r"\w+", text or "")}
+        value = sum(w for f, w in model.weights.items() if (any(x.startswith(f[1:]) and len(x) > len(f) - 1 for x in own) if f[0] == "^" else f in own))
+        p = [1 / (1 + np.exp(t - value)) for t in model.thresholds]
+        assert r["p_toxic"] == pytest.approx(p[0]) and r["expected_severity"] == pytest.approx(sum(p)) and r["grade"] == sum(x >= 0.5 for x in p)
+
+
+def test_fit_is_the_minimum_of_the_ordinal_loss():
+    rng = np.random.default_rng(1)
+    x = rng.random((80, 4)) < 0.4
+    grade = np.clip((x @ np.array([2.0, 1.0, 0.0, -1.0]) + rng.normal(0, 0.7, 80)).round(), 0, 2).astype(int)
+    rows, columns = np.nonzero(x)
+
+    def loss(v):
+        w, t = v[:4], v[4:]
+        out = toxicity.PENALTY / 2 * (w @ w)
+        for toxic in (True, False):
+            mine = (grade > 0) == toxic
+            for k in (0, 1):
+                p = 1 / (1 + np.exp(t[k] - x[mine] @ w))
+                out -= 0.5 / mine.sum() * np.where(grade[mine] > k, np.log(p), np.log(1 - p)).sum()
+        return out
+
+    w, low, high = toxicity.fit(4, rows, columns, grade)
+    found = np.array([*w, low, high])
+    for i in range(6):
+        step = np.eye(6)[i] * 0.05
+        assert loss(found) <= min(loss(found + step), loss(found - step)) + 1e-6
+
+
+def test_cut_against_brute_force():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        toxic = rng.random(60) < 0.4
+        margins = np.where(toxic, rng.normal(0.6, 0.6, 60), rng.normal(-0.8, 0.5, 60))
+        loss = lambda c: (margins[toxic] < c).mean() + toxicity.COST * (margins[~toxic] >= c).mean()
+        assert loss(toxicity.best_cut(margins, toxic)) <= min(loss(c) for c in np.linspace(-1, 1, 400)) + 1e-9
+
+
+def test_training_sample_has_one_row_an_id(spark):
+    docs = spark.createDataFrame([(1, "bad thing")] * 500 + [(2, "fine"), (2, "other"), (None, "x"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (None, 1)], "doc_id long, toxic int")
+    assert toxicity.training_rows(docs, labels, 10, 10).count() == 2
+
+
 def test_toxicity_of_awkward_rows(spark, docs, no_docs):
     labels = spark.createDataFrame([(1, 1), (3, 0), (None, 1), (7, None), (11, 0), (13, 1), (99, 1)], "doc_id long, toxic int")
     model = toxicity.trained(docs, labels)
