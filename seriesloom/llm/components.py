@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 from seriesloom.llm.shared import checkpointed
 
+#: Edges of a task, and shuffle partitions whose shrunk edges make one file.
+EDGES, FILES = 1 << 19, 16
+EDGE = "u long, v long"
+
 
 def smallest_labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """For nodes 0 to n - 1 and edges between a and b the smallest node of each one's component."""
@@ -46,17 +50,25 @@ def _state(edges: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of edges (u, v) but the roots themselves; a root is its component's smallest node.
 
-    Edges lead from the larger node u to the smaller v. They are dealt out by u, and each partition's edges shrink to
-    stars, which ties all smaller neighbours of a node together. A large star then leads every u to the smallest
-    neighbour of its v instead, and so on until nothing changes, after about log(n) rounds, mostly one or two. The caller's
-    edges must give a node few smaller neighbours (here one per signature), as rounds don't add any; a node may have
-    any number of larger ones: they meet its one minimum in a join on a key that both sides are dealt out by anew, so
-    that Spark can split them.
+    Edges first shrink to stars where they are. What is left is dealt out by u, so many edges to a task, and each task's edges
+    shrink again, which ties all smaller neighbours of a node together; a single task's worth is done with that. Else a
+    large star leads every u to the smallest neighbour of its v instead, and so on until nothing changes, after about
+    log(n) rounds, mostly one or two. The caller's edges must give a node few smaller neighbours (here one per
+    signature), as rounds don't add any; a node may have any number of larger ones: they meet its one minimum in a join on
+    a key that both sides are dealt out by anew, so that Spark can split them.
     """
+    dealt = -(-int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")) // FILES)
+    first = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    e = checkpointed(first.mapInArrow(contracted, EDGE).repartition(dealt))
+    tasks = -(-e.count() // EDGES)
+    if tasks <= 1:
+        done = checkpointed(e.coalesce(1).mapInArrow(contracted, EDGE))
+        return done.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
     def shrunk(df: DataFrame) -> DataFrame:
-        return checkpointed(df.where("u != v").repartition("u").mapInArrow(contracted, "u long, v long"))
+        return checkpointed(df.where("u != v").repartition(tasks, "u").mapInArrow(contracted, EDGE))
 
-    e = shrunk(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    e = shrunk(e)
     before = None
     while (now := _state(e)) != before and now[0]:
         before = now

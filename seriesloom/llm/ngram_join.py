@@ -27,14 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm.components import components
-from seriesloom.llm.shared import checkpointed, groups_in_order, joined_anew, small_batches
+from seriesloom.llm.shared import checkpointed, groups_in_order, joined_anew, runs_of, small_batches
 from seriesloom.llm.shingles import EMPTY, Hasher, digest, mixed
 from seriesloom.llm.signature_tree import block_signature, linked, may_link
 
 WORDS, PERCENT = 4, 85
 #: Shingles of a block, and the sets that it has at least where that makes more blocks than tasks can use.
 BLOCK_SHINGLES, BLOCK_SETS = 1 << 19, 64
-#: Counters of how common shingles are, in chunks; tables of counters that are added up in one task.
+#: Counters of how common shingles are, in chunks, and the groups of tasks in which they are first added up.
 COUNTERS, CHUNK, ADDED_AT_ONCE = 1 << 20, 1 << 14, 64
 #: Signatures that a task holds before it passes them on.
 HELD = 1 << 20
@@ -80,26 +80,34 @@ def counter(width: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Reco
 
 
 def added(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each chunk and group of tasks."""
-    for (chunk, part), rows in groups_in_order(batches, 2):
-        counts = np.zeros(CHUNK, dtype=np.int64)
-        for at, own in zip(rows.column(2).to_pylist(), rows.column(3).to_pylist(), strict=True):
-            counts[np.frombuffer(at, dtype="<u2")] += np.frombuffer(own, dtype="<u8").astype(np.int64)
-        at = np.flatnonzero(counts)
-        yield counted_row(chunk, part, at, counts[at])
+    """One row for each chunk and part, of rows in that order."""
+    counts, now = np.zeros(CHUNK, dtype=np.int64), None
+
+    def row() -> Iterator[pa.RecordBatch]:
+        if now is not None:
+            at = np.flatnonzero(counts)
+            yield counted_row(*now, at, counts[at])
+            counts[:] = 0
+
+    for batch in batches:
+        for key, rows in runs_of(batch, 2):
+            if key != now:
+                yield from row()
+                now = key
+            for at, own in zip(rows.column(2).to_pylist(), rows.column(3).to_pylist(), strict=True):
+                counts[np.frombuffer(at, dtype="<u2")] += np.frombuffer(own, dtype="<u8").astype(np.int64)
+    yield from row()
 
 
 def commonness(source: DataFrame, width: int) -> np.ndarray:
     """A level for each counter, twice the binary logarithm of its count, over all documents.
 
-    Tasks' counts are added up in rounds of ADDED_AT_ONCE; the driver gets a table of COUNTERS bytes in size whatever the input is.
+    Tasks' counts are added up in two rounds; the driver gets a table of COUNTERS entries whatever the input is.
     """
-    made = checkpointed(source.select("text").mapInArrow(counter(width), COUNTED))
-    most = made.agg(F.max("part")).first()[0]
-    while most:
-        most //= ADDED_AT_ONCE
-        dealt = made.withColumn("part", F.floor(F.col("part") / ADDED_AT_ONCE).cast("int")).repartition("chunk", "part")
-        made = dealt.sortWithinPartitions("chunk", "part").mapInArrow(added, COUNTED)
+    made = source.select("text").mapInArrow(counter(width), COUNTED)
+    for part in (F.col("part") % ADDED_AT_ONCE, F.lit(0)):
+        dealt = made.withColumn("part", part).repartition("chunk", "part").sortWithinPartitions("chunk", "part")
+        made = dealt.mapInArrow(added, COUNTED)
     out = np.zeros(COUNTERS, dtype=np.uint8)
     for row in made.collect():
         at, counts = np.frombuffer(row["places"], dtype="<u2"), np.frombuffer(row["counts"], dtype="<u8")
@@ -321,7 +329,7 @@ def tree_links(texts: DataFrame, width: int, percent: int) -> DataFrame:
     signed = made.where("bits is not null").select("root", "block", "low", "high", "hidden", "bits")
     if signed.isEmpty():
         return edges
-    members = checkpointed(labelled(sets.select("root", "block", "uid"), edges))
+    members = labelled(sets.select("root", "block", "uid"), edges)
     ranges = members.groupBy("root", "block").agg(F.min("label").alias("first"), F.max("label").alias("last"))
     roots = signed.join(ranges, ["root", "block"])
     others = roots.select("root", F.col("block").alias("j"), *(F.col(c).alias(f"other_{c}") for c in ("low", "high", "hidden", "bits", "first", "last")))
@@ -333,8 +341,7 @@ def tree_links(texts: DataFrame, width: int, percent: int) -> DataFrame:
     whole = sets.join(members.select("uid", "label"), "uid")
     spread = sides.join(whole, ["root", "block"]).select("root", "i", "j", "block", "uid", "label", "own")
     spread = spread.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-    more = spread.mapInArrow(between_blocks(percent), "u long, v long")
-    return edges.unionByName(checkpointed(more))
+    return edges.unionByName(spread.mapInArrow(between_blocks(percent), "u long, v long"))
 
 
 def _joined(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, block_sets: int) -> DataFrame:
@@ -349,7 +356,7 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
     members = found.where("v is null").select("doc_id", "mark", F.col("u").alias("uid"), "n", "d1", "d2")
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")
     sets = members.where("n > 0").groupBy("d1", "d2").agg(F.min(row).alias("row"), F.min("uid").alias("uid"), F.min("n").alias("n"))
-    sets = checkpointed(sets.select("d1", "d2", "uid", "n", "row"))
+    sets = sets.select("d1", "d2", "uid", "n", "row")
     equal = members.where("n > 0").select("uid", "d1", "d2").distinct().join(sets.select("d1", "d2", F.col("uid").alias("v")), ["d1", "d2"]).select(F.col("uid").alias("u"), "v")
     candidates = components(found.where("v is not null").select("u", "v").unionByName(equal))
 

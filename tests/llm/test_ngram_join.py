@@ -5,6 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from seriesloom.llm import components as components_module
 from seriesloom.llm import ngram_join, signature_tree
 from seriesloom.llm import shingles as shingles_module
 from seriesloom.llm.components import components
@@ -222,7 +223,9 @@ def test_many_long_texts_in_one_batch():
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000  # KB
 
 
-def test_components(spark):
+@pytest.mark.parametrize("edges_a_task", [1 << 19, 40])
+def test_components(spark, monkeypatch, edges_a_task):
+    monkeypatch.setattr(components_module, "EDGES", edges_a_task)
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5001 + i) for i in range(50)]
     up = {}
