@@ -29,12 +29,15 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return norm.select("doc_id", F.unhex(F.sha2("norm", 256)).alias("digest"), F.xxhash64("norm").alias("proof"), F.length("norm").alias("n_chars"))
 
 
-def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", runs: int = 64, fan_in: int = 8) -> DataFrame:
+def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", runs: int | None = None, fan_in: int = 8) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, and digest, proof and n_chars.
 
     The row with the smallest doc_id of equal texts stays; null ids come last. Of rows that repeat that doc_id with the
-    same text exactly one stays. Null text equals empty text. An empty table gives no rows; other columns are ignored.
+    same text exactly one stays. Null text equals empty text, and whole texts count, whatever their length. An empty table gives no
+    rows; other columns are ignored, whatever they are called. There are as many runs as shuffle partitions, 64 at least,
+    so that a group of any size is spread over all of them.
     """
+    runs = runs or max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = digests(docs, id_col, text_col).withColumns({"run": F.spark_partition_id() % runs, "row": F.monotonically_increasing_id()})
     rows = checkpointed(rows)
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")

@@ -65,3 +65,37 @@ def test_stages_against_brute_force(spark, sf):
 def test_run_writes_in_the_shared_folder(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.count() > 0 and "sequence_id" in out.columns
+
+
+def tables(spark, folder, rows):
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, digest string, whole long").write.parquet(f"{folder}/documents.parquet")
+    labels = [(r[0], 0, 1 if r[1] and "awful" in r[1] else 0) for r in rows if r[0] is not None]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+
+
+def test_awkward_rows(spark, tmp_path):
+    texts = [f"plain text number {i} " + " ".join(f"w{i * 37 + j}" for j in range(30)) for i in range(40)] + [f"an awful thing {i} " + " ".join(f"v{i * 41 + j}" for j in range(30)) for i in range(30)]
+    rows = [(i, t, "en", "ab"[i % 2], len(t), "x", 1) for i, t in enumerate(texts)]
+    near = texts[0] + " one more"
+    rows += [(100, near, "en", "a", None, None, None), (None, near + " again", None, None, None, None, None), (None, texts[1], None, "a", None, None, None)]
+    rows += [(200, None, None, None, None, None, None), (201, "", "en", "b", 0, "", 0), (None, " \n", None, None, None, None, None), (None, None, None, None, None, None, None)]
+    rows += [(300, "long " + "word " * 60_000 + "end", "en", "c", None, None, None)] * 2 + [(301, "y" * 400_000, "en", "c", None, None, None)] + rows[:5]
+    tables(spark, tmp_path, rows)
+    step, results = table(spark, str(tmp_path), "documents"), []
+    names = step.columns
+    for _, stage in corpus_pipeline.STAGES:
+        step = stage(spark, step, str(tmp_path)).cache()
+        results.append(step)
+    assert all(s.columns == names for s in results[:-1])
+    clean, exact, near_kept, mixed = ([r["text"] for r in s.select("text").collect()] for s in results[:-1])
+    assert sum("awful" in (t or "") for t in clean) <= 3 and all(t in clean for t in texts[:40]) and None in clean
+    assert len(exact) == len({norm(t) for t in clean}) and {norm(t) for t in exact} == {norm(t) for t in clean}
+    sets = [shingles(t, 5) for t in near_kept]
+    assert not any(a and b and 100 * len(a & b) >= 80 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+    assert texts[0] in near_kept and near not in near_kept and texts[1] in near_kept
+    assert Counter(r["doc_id"] for r in results[-1].where("start = 0").collect()) == Counter(r["doc_id"] for r in results[3].collect())
+
+
+def test_nothing(spark, tmp_path):
+    tables(spark, tmp_path, [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
