@@ -50,16 +50,16 @@ def _state(edges: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of edges (u, v) but the roots themselves; a root is its component's smallest node.
 
-    Edges first shrink to stars where they are. What is left is dealt out by u, so many edges to a task, and each task's edges
-    shrink again, which ties all smaller neighbours of a node together; a single task's worth is done with that. Else a
-    large star leads every u to the smallest neighbour of its v instead, and so on until nothing changes, after about
+    Edges first shrink to stars in a few tasks (after a shuffle, so that no stage holds two Python workers a core). What is left is
+    dealt out by u, so many edges to a task, and each task's edges shrink again, which ties all smaller neighbours of a
+    node together; a single task's worth is done with that. Else a large star leads every u to the smallest neighbour of its v instead, and so on until nothing changes, after about
     log(n) rounds, mostly one or two. The caller's edges must give a node few smaller neighbours (here one per
     signature), as rounds don't add any; a node may have any number of larger ones: they meet its one minimum in a join on
     a key that both sides are dealt out by anew, so that Spark can split them.
     """
     dealt = -(-int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")) // FILES)
     first = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    e = checkpointed(first.mapInArrow(contracted, EDGE).repartition(dealt))
+    e = checkpointed(first.repartition(dealt).mapInArrow(contracted, EDGE))
     tasks = -(-e.count() // EDGES)
     if tasks <= 1:
         done = checkpointed(e.coalesce(1).mapInArrow(contracted, EDGE))
