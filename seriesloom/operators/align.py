@@ -146,7 +146,7 @@ def apply(s: SeriesFrame, f: Callable[[np.ndarray], np.ndarray]) -> SeriesFrame:
 def logical(a: Operand, what: str, b: Operand) -> SeriesFrame:
     """and, or, xor of values taken as true where they are not 0 (NaN counts as true)."""
     def true(v: Column) -> Column:
-        return (v != 0) | F.isnan(v)
+        return (v.cast("double") != 0) | F.isnan(v.cast("double"))
 
     made: dict[str, Binary] = {"and": lambda x, y: true(x) & true(y), "or": lambda x, y: true(x) | true(y), "xor": lambda x, y: true(x) != true(y)}
     return combine(a, b, made[what])
@@ -183,11 +183,14 @@ def spread_over(df: DataFrame, keys: Sequence[str], cols: Sequence[str], rng: Pe
     return steps.join(df, [*keys, "mit"], "left").select(*keys, "mit", *(ieee.to_nan(F.col(c)).alias(c) for c in cols))
 
 
-def overlay(*parts: SeriesFrame, rng: PeriodRange | None = None) -> SeriesFrame:
+def overlay(*parts: SeriesFrame | float | None, rng: PeriodRange | None = None) -> SeriesFrame | float | None:
     """The first value that is not missing, from left to right, over the span of all (or rng).
 
-    Variables are the ordered union of all names. One aggregation, whatever the number of parts.
+    Variables are the ordered union of all names. One aggregation, whatever the number of parts. With numbers among the parts, the
+    first part that is not a missing number.
     """
+    if not all(isinstance(p, SeriesFrame) for p in parts):
+        return next((p for p in parts if isinstance(p, SeriesFrame) or not (p is None or p != p)), parts[-1])
     first = parts[0]
     freq = same_frequency(*(p.freq for p in parts))
     names = list(dict.fromkeys(c for p in parts for c in p.cols))
@@ -245,6 +248,17 @@ def dot(a: SeriesFrame, b: SeriesFrame) -> DataFrame:
     return both.groupBy(*a.keys).agg(F.sum(F.col(a.only()) * F.col(f"_b_{b.only()}")).alias("value"))
 
 
+def inner(a: SeriesFrame, b: SeriesFrame) -> DataFrame:
+    """Inner product by position, a row per key, whatever the periods; the lengths must agree."""
+    ours = a.ranges().select(*a.keys, F.col("first").alias("_ours"), F.col("length").alias("_m"))
+    theirs = b.ranges().select(*b.keys, F.col("first").alias("_theirs"), F.col("length").alias("_n"))
+    pairing = join_keys(ours, theirs, a.keys)
+    rows = join_keys(a.df, pairing, a.keys).withColumn("_at", F.col("mit") - F.col("_ours") + F.col("_theirs"))
+    same = F.when(F.col("_m") != F.col("_n"), F.raise_error(F.lit("the lengths differ")).cast("boolean")).otherwise(True)
+    both = rows.where(same).join(b.df.select(*b.keys, F.col("mit").alias("_at"), F.col(b.only()).alias("_b")), [*a.keys, "_at"])
+    return both.groupBy(*a.keys).agg(F.sum(F.col(a.only()) * F.col("_b")).alias("value"))
+
+
 def left_matmul(weights: DataFrame, s: SeriesFrame) -> DataFrame:
     """A matrix times a series: weights has row, position (from 0, in order of period) and weight; gives row and value per key."""
     edges = s.ranges().select(*s.keys, F.col("first").alias("_first"))

@@ -176,14 +176,35 @@ def _matrix(s: SeriesFrame, make: Callable[[Column, Column], Column], diagonal:
     return made.select(*s.keys, F.inline(F.array(*out)))
 
 
-def cor(a: SeriesFrame, b: SeriesFrame | None = None) -> DataFrame:
-    """Pearson correlation of two series of one range, or the matrix of a handle's variables; NaN for constants."""
+def _both(a: SeriesFrame, b: SeriesFrame, skip: dict, make: Callable[[Column, Column], Column]) -> DataFrame:
+    """make over two series; with holiday options over the rows that both keep: no holidays, or none where either is missing."""
+    if not skip:
+        return _pair(a, b, make)
+    x, y = a.only(), b.only()
+    both = joined(a, b, "full")
+    unmatched = F.col(x).isNull() | F.col(f"_b_{y}").isNull()
+    checked = F.when(unmatched, F.raise_error(F.lit("the series need the same range")).cast("double"))
+    if skip.get("skip_all_nans") and skip.get("holidays_map") is None:
+        checked = checked.when(F.isnan(x) != F.isnan(f"_b_{y}"), F.raise_error(F.lit("the series miss different rows")).cast("double"))
+    rows = both.select(*a.index, checked.otherwise(F.col(x)).alias("_x"), checked.otherwise(F.col(f"_b_{y}")).alias("_y"))
+    kept = _only_business(a.with_df(rows, cols=("_x", "_y")), None, skip)
+    return kept.df.groupBy(*a.keys).agg(make(F.col("_x"), F.col("_y")).alias("value"))
+
+
+def cor(a: SeriesFrame, b: SeriesFrame | None = None, **skip) -> DataFrame:
+    """Pearson correlation of two series of one range, or the matrix of a handle's variables; NaN for constants.
+
+    Business-daily series take skip_all_nans, skip_holidays and holidays_map.
+    """
     if b is not None:
-        return _pair(a, b, _correlation)
+        return _both(a, b, skip, _correlation)
+    a = _only_business(a, None, skip) if skip else a
     return _matrix(a, _correlation, lambda c: F.lit(1.0) + 0 * F.coalesce(F.count(c), F.lit(0)))
 
 
-def cov(a: SeriesFrame, b: SeriesFrame | None = None) -> DataFrame:
+def cov(a: SeriesFrame, b: SeriesFrame | None = None, **skip) -> DataFrame:
+    """Covariance, as cor."""
     if b is not None:
-        return _pair(a, b, _covariance)
+        return _both(a, b, skip, _covariance)
+    a = _only_business(a, None, skip) if skip else a
     return _matrix(a, _covariance, lambda c: _or_nan(F.var_samp(c)))

@@ -20,13 +20,14 @@ from seriesloom.functions import calendar
 from seriesloom.functions.frequency import Frequency, as_frequency, same_frequency
 from seriesloom.functions.ieee import NAN, to_nan
 from seriesloom.functions.period import Period, PeriodRange
+from seriesloom.plans.algebra import Algebra
 
 #: Periods of a block.
 BLOCK = 4096
 
 
-@dataclass(frozen=True)
-class SeriesFrame:
+@dataclass(frozen=True, eq=False)
+class SeriesFrame(Algebra):
     df: DataFrame
     freq: Frequency
     keys: tuple[str, ...] = ()

@@ -735,3 +735,42 @@ register("similar_fill", lambda spark, d: out(orders(spark, d, M).similar(1.5)),
 register("numpy_function", lambda spark, d: out(align.apply(orders(spark, d, M), lambda v: np.hypot(v, 3.0)), 4), f"{orders_sql(M)} SELECT mit, round(sqrt(value * value + 9.0), 4) AS value FROM s")
 register("logical_and", lambda spark, d: align.logical(*(lambda p: (p[0], "and", p[1]))(_two(spark, d))).df, f"{TWO_SQL} SELECT mit, a.value <> 0 AND b.value <> 0 AS value FROM a JOIN b USING (mit)")
 register("workspace_frame", lambda spark, d: out(Workspace(a=_two(spark, d)[0], b=_two(spark, d)[1]).frame()), f"{TWO_SQL} SELECT mit, a.value AS a, b.value AS b FROM a FULL JOIN b USING (mit)")
+
+
+# --- Python and NumPy operators of handles, options of correlations ---------------------------------------------------
+
+register(
+    "handle_arithmetic",
+    lambda spark, d: out((lambda a, b: (2 * a - b / 4 + abs(-b)) // 10 % 1000 + a**1)(*_two(spark, d))),
+    f"{TWO_SQL} SELECT mit, floor((2 * a.value - b.value / 4 + abs(-b.value)) / 10) - 1000 * floor(floor((2 * a.value - b.value / 4 + abs(-b.value)) / 10) / 1000) + a.value AS value FROM a JOIN b USING (mit)",
+)
+register(
+    "handle_comparison",
+    lambda spark, d: (lambda a, b: ((a > b) & (a >= 1.0) | (a == b)).df)(*_two(spark, d)),
+    f"{TWO_SQL} SELECT mit, (a.value > b.value AND a.value >= 1) OR a.value = b.value AS value FROM a JOIN b USING (mit)",
+)
+register(
+    "handle_numpy",
+    lambda spark, d: out((lambda a, b: np.maximum(np.sqrt(np.square(a)), np.add(b, 1.0)) - np.float64(3))(*_two(spark, d)), 6),
+    f"{TWO_SQL} SELECT mit, round(greatest(sqrt(a.value * a.value), b.value + 1) - 3, 6) AS value FROM a JOIN b USING (mit)",
+)
+register(
+    "handle_concatenate",
+    lambda spark, d: out(np.concatenate(_two(spark, d))),
+    f"{TWO_SQL} SELECT mit, value FROM a UNION ALL SELECT row_number() OVER (ORDER BY mit) + (SELECT max(mit) FROM a) AS mit, value FROM b",
+)
+register(
+    "handle_inner_product",
+    lambda spark, d: rounded(align.inner(*(lambda s: (s, s.shifted_axis(7)))(_two(spark, d)[0])), -6),
+    f"{TWO_SQL} SELECT round(sum(value * value), -6) AS value FROM a",
+)
+register(
+    "bd_cor_holidays",
+    lambda spark, d: rounded(stats.cor(*(lambda s: (s, s.each(lambda v: v * v)))(bdays.cleaned(business(spark, d), skip_all_nans=True)), holidays_map=holiday_map()), 9),
+    f"{BUSINESS_SQL} SELECT round(corr(value, value * value), 9) AS value FROM s WHERE mit % 25 <> 0 AND value IS NOT NULL",
+)
+register(
+    "bd_cov_nans",
+    lambda spark, d: rounded(stats.cov(*(lambda s: (s, s.each(lambda v: v / 1000)))(business(spark, d)), skip_all_nans=True), -3),
+    f"{BUSINESS_SQL} SELECT round(covar_samp(value, value / 1000), -3) AS value FROM s WHERE value IS NOT NULL",
+)

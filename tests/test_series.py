@@ -627,3 +627,63 @@ def test_streams(spark, tmp_path):
     for d in range(1, 29, 2):
         y = 0.5 * y + d
         assert filtered["a", d] == pytest.approx(y)
+
+
+def test_operators_of_handles(spark):
+    a, b = ser(spark, qq(2020, 1), [1, 2, 3, 4]), ser(spark, qq(2020, 3), [10, 20, 30])
+    for made, values in ((a + b, [13, 24]), (b - a, [7, 16]), (2 * a, [2, 4, 6, 8]), (1 / a, [1, 0.5, 1 / 3, 0.25]), (a // 2, [0, 1, 1, 2]), (7 % a, [0, 1, 1, 3]), (2**a, [2, 4, 8, 16]), (-a, [-1, -2, -3, -4]), (+a, [1, 2, 3, 4]), (abs(-a), [1, 2, 3, 4]), (a + np.float32(1), [2, 3, 4, 5]), (np.float64(1) + a, [2, 3, 4, 5])):
+        assert got(made)[1] == pytest.approx(values)
+    assert got(a + b)[0] == qq(2020, 3)
+    for made, values in ((a > 2, [False, False, True, True]), (a == 3, [False, False, True, False]), (2 != a, [True, False, True, True]), (3 >= a, [True, True, True, False]), ((a > 1) & (a < 4), [False, True, True, False]), ((a < 2) | (a > 3), [True, False, False, True]), (~(a > 2), [True, True, False, False])):
+        assert got(made)[1] == values
+    c = a
+    c += b
+    assert got(c)[1] == [1, 2, 13, 24] and got(a)[1] == [1, 2, 3, 4]
+    assert len({a, b, a}) == 2
+    with pytest.raises(TypeError):
+        a + "x"
+    with pytest.raises(TypeError):
+        a + yy_series(spark)
+
+
+def yy_series(spark):
+    return ser(spark, yy(2020), [1, 2])
+
+
+def test_numpy_protocols(spark):
+    a, b = ser(spark, qq(2020, 1), [1, 4, 9]), ser(spark, qq(2020, 1), [2, 2, 2])
+    assert np.asarray(a).tolist() == [1, 4, 9] and np.asarray(a, dtype=int).dtype == int
+    assert got(np.sqrt(a))[1] == [1, 2, 3] and got(np.multiply(a, b))[1] == [2, 8, 18] and got(np.add(1, a))[1] == [2, 5, 10]
+    assert got(np.maximum(a, 3))[1] == [3, 4, 9] and got(np.greater(a, b))[1] == [False, True, True]
+    assert np.add.reduce(a) == 14 and np.mean(a) == pytest.approx(14 / 3)
+    assert np.array_equal(a, np.array([1, 4, 9])) and np.allclose(a, [1, 4, 9 + 1e-12]) and not np.array_equal(a, b)
+    assert got(np.concatenate([a, b])) == (qq(2020, 1), [1, 4, 9, 2, 2, 2])
+    assert np.concatenate([a, [5.0]]).tolist() == [1, 4, 9, 5]
+    assert np.matmul(a, b) == a @ b == 28 and np.array([1, 0, 1]) @ a == 10
+    m = align.hcat(a.rename(["x"]), b.rename(["y"]))
+    assert np.asarray(m).tolist() == [[1, 2], [4, 2], [9, 2]] and np.concatenate([m, m.rename(["p", "q"])], axis=1).cols == ("x", "y", "p", "q")
+    w = np.array([[1.0, 0.5], [2.0, 0.0]])
+    assert np.asarray(m @ w).tolist() == (np.asarray(m) @ w).tolist() and np.asarray(m @ w[:, 0]).tolist() == [5, 8, 13]
+    with pytest.raises(ValueError, match="rows"):
+        m @ np.ones(3)
+    with pytest.raises(Exception, match="lengths differ"):
+        a @ ser(spark, qq(2020, 1), [1, 2])
+
+
+def test_overlay_of_numbers():
+    assert align.overlay(NAN, None, 3.0, 4.0) == 3.0 and align.overlay(None) is None and math.isnan(align.overlay(NAN, NAN))
+
+
+def test_correlation_with_holiday_options(spark):
+    a = ser(spark, bdaily("2020-01-06"), [1, 2, NAN, 4, 8])
+    b = ser(spark, bdaily("2020-01-06"), [1, 3, NAN, 2, 9])
+    want = np.corrcoef([1, 2, 4, 8], [1, 3, 2, 9])[0, 1]
+    assert stats.cor(a, b, skip_all_nans=True).first()[0] == pytest.approx(want)
+    assert stats.cov(a, b, skip_all_nans=True).first()[0] == pytest.approx(np.cov([1, 2, 4, 8], [1, 3, 2, 9])[0, 1])
+    m = align.hcat(a.rename(["x"]), b.rename(["y"]))
+    cells = {(r["row"], r["col"]): r["value"] for r in stats.cor(m, skip_all_nans=True).collect()}
+    assert cells["x", "y"] == pytest.approx(want) and cells["x", "x"] == 1
+    with pytest.raises(Exception, match="different rows"):
+        stats.cor(a, ser(spark, bdaily("2020-01-06"), [1, 3, 5, 2, 9]), skip_all_nans=True).collect()
+    with pytest.raises(TypeError):
+        stats.cor(ser(spark, qq(2020, 1), [1, 2]), ser(spark, qq(2020, 1), [1, 2]), skip_all_nans=True)
