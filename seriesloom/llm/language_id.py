@@ -25,6 +25,8 @@ LENGTHS = (1, 2, 3)
 #: Bounds of the training sample: languages (those with most rows), rows of each, characters of each, landmarks of each and of all.
 MOST_LANGUAGES, TRAIN_PER_LANGUAGE, TRAIN_CHARS, LANDMARKS_PER_LANGUAGE, LANDMARKS = 64, 300, 1 << 15, 24, 256
 RIDGE, SHARPNESS = 0.05, 4.0
+#: Times as many rows as the sample takes that are ranked.
+THINNED = 8
 #: Characters whose n-grams are gathered at once.
 AT_ONCE = 1 << 18
 UNKNOWN = "und"
@@ -112,21 +114,20 @@ def held_out(id_col: str = "doc_id") -> Column:
 def training_rows(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, most: int) -> list[tuple[str, str]]:
     """Beginnings (of TRAIN_CHARS characters) of at most ``most`` labelled texts per language that are not held out.
 
-    Chosen by the smallest hash of identifier and text, for the MOST_LANGUAGES languages with most rows. Executors rank small rows
-    without texts, each partition passing on no more than ``most`` per language, and repeated rows count once; the driver gets at most
-    MOST_LANGUAGES * most texts.
+    Chosen by the smallest hash of identifier and text, for the MOST_LANGUAGES languages with most rows. Each language is thinned by its
+    own count to THINNED times as many first, and repeated rows count once, so that ranking sees few rows whatever the table; the
+    driver gets at most MOST_LANGUAGES * most texts.
     """
     may = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~F.coalesce(held_out(id_col), F.lit(False)) & F.col(text_col).rlike(r"\p{L}"))
     may = may.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col), F.lit("language sample")).alias("draw"))
-    counts = may.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(MOST_LANGUAGES)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
-    least = may.select("lang", "draw").withColumn("rank", rank).where(F.col("rank") <= most).groupBy("lang").agg(F.max("draw").alias("limit"))
-    limits = [(r["lang"], r["limit"]) for r in least.join(F.broadcast(counts), "lang").select("lang", "limit").collect()]
-    if not limits:
+    counts = may.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(MOST_LANGUAGES).collect()
+    if not counts:
         return []
-    table = F.broadcast(docs.sparkSession.createDataFrame(limits, "lang string, limit long"))
-    picked = may.join(table, "lang").where("draw <= limit").select("lang", "draw", F.substring("text", 1, TRAIN_CHARS).alias("text"))
-    rows = picked.groupBy("lang", "draw").agg(F.min("text").alias("text")).collect()
+    shares = F.broadcast(docs.sparkSession.createDataFrame([(r["lang"], min(1.0, THINNED * most / r["n"])) for r in counts], "lang string, share double"))
+    thin = may.join(shares, "lang").where(F.pmod("draw", F.lit(1 << 32)) / float(1 << 32) < F.col("share"))
+    each = thin.groupBy("lang", "draw").agg(F.min(F.substring("text", 1, TRAIN_CHARS)).alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    rows = each.withColumn("rank", rank).where(F.col("rank") <= most).collect()
     return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["lang"], r["draw"])) if has_letter(r["text"])]
 
 
