@@ -20,14 +20,20 @@ from seriesloom.functions.frequency import as_frequency
 def period_aggregates(rows: DataFrame, time: str, freq: object, values: Mapping[str, Column], keys: Sequence[str] = (), late: str = "1 day") -> DataFrame:
     """keys, mit and the aggregates of every period; use the update or complete mode for the output.
 
-    Days carry an event-time window, so that their state goes when the watermark passes them by and rows later than
-    ``late`` are dropped; longer periods keep one small state per key and period.
+    A row's event time is its day, or for longer periods the last day of its period, with the period's length added to ``late``: a
+    period stays open at least ``late`` beyond its end. Periods are grouped with a window of that time, so that a period's state
+    goes once the watermark has passed it, and rows that come later still are dropped.
     """
     freq = as_frequency(freq)
     mit = calendar.from_date(freq, F.col(time))
-    marked = rows.withWatermark(time, late).withColumn("mit", mit)
-    days = marked.groupBy(*keys, "mit", F.window(time, "1 day").alias("day"))
-    return days.agg(*(v.alias(n) for n, v in values.items())).drop("day") if freq.kind == "Daily" else marked.groupBy(*keys, "mit").agg(*(v.alias(n) for n, v in values.items()))
+    if freq.kind == "Daily":
+        marked, event = rows.withWatermark(time, late).withColumn("mit", mit), time
+    else:
+        length = 31 * freq.months if freq.is_monthly_based else 7
+        last = calendar.to_date(freq, mit, "end").cast("timestamp")
+        marked, event = rows.withColumns({"mit": mit, "_end": last}).withWatermark("_end", f"{late} {length} days"), "_end"
+    grouped = marked.groupBy(*keys, "mit", F.window(event, "1 day").alias("_day"))
+    return grouped.agg(*(v.alias(n) for n, v in values.items())).drop("_day")
 
 
 def sliding_windows(rows: DataFrame, time: str, length: str, slide: str | None, values: Mapping[str, Column], keys: Sequence[str] = (), late: str = "1 day") -> DataFrame:

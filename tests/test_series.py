@@ -619,6 +619,7 @@ def test_streams(spark, tmp_path):
     weekly = {r["mit"]: r["total"] for r in result(periods.period_aggregates(stream, "ts", Weekly(), {"total": F.sum("v")}), "complete", "weekly")}
     first = daily("2024-01-01").value
     assert weekly == {(first + 7 * w + 6) // 7: sum(range(7 * w + 1, 7 * w + 8)) for w in range(4)}
+    assert len(result(periods.period_aggregates(stream, "ts", Monthly(), {"n": F.count("*")}, ["k"]), "complete", "monthly")) == 2
     windows_ = result(periods.sliding_windows(stream, "ts", "4 days", "2 days", {"n": F.count("*")}), "complete", "sliding")
     assert sum(r["n"] for r in windows_) == 56
     assert len(result(periods.sessions(stream.where("k = 'a'"), "ts", "1 day", {"n": F.count("*")}), "complete", "sessions")) == 14
@@ -629,6 +630,28 @@ def test_streams(spark, tmp_path):
         assert filtered["a", d] == pytest.approx(y)
 
 
+def test_streams_let_go_of_old_periods(spark, tmp_path):
+    from seriesloom.streaming import periods
+
+    def add(name, *days):
+        spark.createDataFrame([(d, 1.0) for d in days], "ts string, v double").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    add("a", "2024-01-05", "2024-01-20")
+    stream = spark.readStream.schema("ts timestamp, v double").parquet(str(tmp_path / "in"))
+    made = periods.period_aggregates(stream, "ts", Monthly(), {"total": F.sum("v")}, late="2 days")
+    query = made.writeStream.format("memory").queryName("months").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).start()
+    try:
+        query.processAllAvailable()
+        for days in (("2024-02-03",), ("2024-01-31", "2024-02-10"), ("2024-04-10",), ("2024-05-02", "2024-01-07"), ("2024-05-03",)):
+            add("b", *days)
+            query.processAllAvailable()
+        # a row of January counts in February, but not in May, when its state is gone
+        assert {r["mit"]: r["total"] for r in spark.table("months").collect()} == {mm(2024, 1).value: 3, mm(2024, 2).value: 2}
+        assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2
+    finally:
+        query.stop()
+
+
 def test_operators_of_handles(spark):
     a, b = ser(spark, qq(2020, 1), [1, 2, 3, 4]), ser(spark, qq(2020, 3), [10, 20, 30])
     for made, values in ((a + b, [13, 24]), (b - a, [7, 16]), (2 * a, [2, 4, 6, 8]), (1 / a, [1, 0.5, 1 / 3, 0.25]), (a // 2, [0, 1, 1, 2]), (7 % a, [0, 1, 1, 3]), (2**a, [2, 4, 8, 16]), (-a, [-1, -2, -3, -4]), (+a, [1, 2, 3, 4]), (abs(-a), [1, 2, 3, 4]), (a + np.float32(1), [2, 3, 4, 5]), (np.float64(1) + a, [2, 3, 4, 5])):
