@@ -113,6 +113,10 @@ def undiff(s: SeriesFrame, anchor: tuple[Period, float | SeriesFrame] | float |
         period, value = anchor
     else:
         period, value = None, anchor
+    if period is None and not isinstance(value, SeriesFrame):
+        # the sums start from the anchor, so one pass over them is enough
+        start = s.ranges().select(*s.keys, (F.col("first") - 1).alias("mit"), *(F.lit(float(value)).alias(c) for c in s.cols))
+        return s.with_df(cumulative(s).each(lambda v: v + float(value)).df.unionByName(start.where("mit is not null")))
     edges = s.ranges().select(*s.keys, "first", "last")
     at = edges.withColumn("_at", F.lit(period.value).cast("long") if period else F.col("first") - 1)
     before = at.where(F.col("_at") < F.col("first")).select(*s.keys, F.explode(F.sequence(F.col("_at"), F.col("first") - 1)).alias("mit"))
